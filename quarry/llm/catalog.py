@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import conversations, mixing, packing, splitting
+from quarry.llm import conversations, mixing, neighbours, packing, pairs, splitting
 from quarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,8 +20,11 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _over(splitting.found, "kb_document", "kb_project"),
         "p1_pieces": _over(splitting.pieces, "kb_document", "kb_project"),
+        "p2_found": _over(pairs.found, "intent_resolution", "intent"),
         "p3_found": conversations.found,
         "p3_conversations": conversations.conversations,
+        "p5_found": _over(neighbours.found, "emb_minilm_384"),
+        "p5_nearest": _over(neighbours.nearest, "emb_minilm_384"),
         "p6_found": _over(packing.found, "documents", "container_size"),
         "p6_assignments": _over(packing.assignments, "documents", "container_size"),
         "p6_fill": _over(packing.fill, "documents", "container_size"),
@@ -76,6 +79,16 @@ base AS (
 SELECT s AS session_id FROM ids LEFT JOIN base USING (s) LEFT JOIN shape USING (s)
 WHERE broken IS NULL OR broken OR NOT coalesce(vis, false) OR regexp_matches(coalesce(shape, ''), 'Ua+U|Ua*$')"""
 
+_P5 = """
+WITH v AS (
+  SELECT embedding_id AS id, any_value(embedding::DOUBLE[]) AS e FROM emb_minilm_384
+  WHERE embedding IS NOT NULL AND len(embedding) = 384 AND list_count(embedding) = 384
+    AND len(list_filter(embedding, lambda x: NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+  GROUP BY 1
+), s AS (SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.id <> b.id),
+top AS (SELECT x, y, c FROM s QUALIFY row_number() OVER (PARTITION BY x ORDER BY c DESC, y) <= 10)
+SELECT DISTINCT least(x, y) AS a_id, greatest(x, y) AS b_id FROM top WHERE c >= 0.9"""
+
 _P6 = f"""
 SELECT DISTINCT container_id, doc_id FROM (SELECT doc_id, {_TOKENS} AS n FROM documents) d JOIN container_size c ON d.n > c.capacity"""
 
@@ -87,4 +100,4 @@ WHERE coalesce(per.n, 0) * max_repeat < weight * total_share * whole.n"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p3_found": _P3, "p6_found": _P6, "p7_found": _P7}
+    return {"p1_found": _P1, "p3_found": _P3, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7}
