@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -52,3 +53,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in Python workers that lack it on their path; once per application."""
+    if getattr(ship, "sent", None) == spark.sparkContext.applicationId:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    made = shutil.make_archive(os.path.join(tempfile.mkdtemp(prefix="spark-"), "quarry"), "zip", root, "quarry")
+    spark.sparkContext.addPyFile(made)  # read from the driver by each executor
+    ship.sent = spark.sparkContext.applicationId
