@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import conversations, mixing, neighbours, packing, pairs, splitting
+from quarry.llm import conversations, mixing, neighbours, packing, pairs, splitting, subjects
 from quarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,6 +31,8 @@ def queries() -> dict[str, Query]:
         "p7_found": _over(mixing.found, "documents", "mix_target"),
         "p7_selection": _over(lambda d, t: mixing.documents_mix(d, t)[0], "documents", "mix_target"),
         "p7_report": _over(mixing.report, "documents", "mix_target"),
+        "p8_found": _over(subjects.found, "documents", "subject_area", "subject_label"),
+        "p8_composition": _over(subjects.composition, "documents", "subject_area", "subject_label"),
     }
 
 
