@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarry.llm import conversations, mixing, neighbours, packing, pairs, splitting, subjects
+from quarry.llm import conversations, mixing, neighbours, packing, pairs, splitting, subjects, syntax
 from quarry.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,8 @@ def queries() -> dict[str, Query]:
         "p2_found": _over(pairs.found, "intent_resolution", "intent"),
         "p3_found": conversations.found,
         "p3_conversations": conversations.conversations,
+        "p4_found": _over(syntax.found, "kb_document"),
+        "p4_rates": _over(syntax.rates, "kb_document"),
         "p5_found": _over(neighbours.found, "emb_minilm_384"),
         "p5_nearest": _over(neighbours.nearest, "emb_minilm_384"),
         "p6_found": _over(packing.found, "documents", "container_size"),
