@@ -118,7 +118,7 @@ def _python() -> dict[str, str]:
 
 
 #: Classes that begin a statement wherever they begin a line, in JavaScript and TypeScript.
-STARTERS = "VIODTSRBMPcd"
+STARTERS = "VIODTSRBMPcdW"
 #: Type arguments of TypeScript, innermost first; so many passes take out that many levels.
 TYPE_ARGUMENTS, TYPE_LEVELS = r"<(?:[nsu0NyJ.oX|,=>:?\-eF]|\(\)|\[\]|\{\})*+G", 4
 

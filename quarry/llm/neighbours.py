@@ -72,8 +72,8 @@ class MultiIndex:
         self.dim, self.first, self.second = dim, first, second
 
     @classmethod
-    def fit(cls, rows: DataFrame, dim: int, n: int, vector: str, key: str, centroids: int) -> MultiIndex:
-        """Codebooks by k-means on each half of a sample of at most SAMPLE rows, chosen by the hash of their id."""
+    def fit(cls, rows: DataFrame, dim: int, n: int, vector: str, key: str, centroids: int) -> MultiIndex | None:
+        """Codebooks by k-means on each half of a sample of at most SAMPLE rows, chosen by the hash of their id; none without usable rows."""
         share = min(1.0, SAMPLE / max(n, 1))
         picked = rows.where(F.pmod(F.xxhash64(F.lit(3), key), F.lit(1_000_000)) < int(share * 1_000_000) + 1)
         sample = unit_vectors(picked, dim, vector, key).limit(SAMPLE)
@@ -85,6 +85,8 @@ class MultiIndex:
                     yield pa.RecordBatch.from_arrays(halves, ["a", "b"])
 
         halves = sample.mapInArrow(parts, "a array<float>, b array<float>").select(array_to_vector("a").alias("a"), array_to_vector("b").alias("b")).repartition(4).persist()
+        if halves.isEmpty():
+            return None
         books = []
         for c in ("a", "b"):
             model = KMeans(k=centroids, featuresCol=c, predictionCol="p", maxIter=6, initSteps=1, seed=5).fit(halves)
@@ -166,6 +168,8 @@ def nearest_distinct(rows: DataFrame, k: int, dim: int, vector: str, key: str, m
     spark: SparkSession = rows.sparkSession
     n = rows.count()
     index = MultiIndex.fit(rows, dim, n, vector, key, centroids)
+    if index is None:
+        return spark.createDataFrame([], "h binary, nh binary, cosine double")
     shared = spark.sparkContext.broadcast(index)
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

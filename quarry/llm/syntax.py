@@ -100,7 +100,7 @@ def _ended(placed: DataFrame, allowed: DataFrame) -> DataFrame:
     mine = placed.where("code <> 'N' or lang = 'py' and pos > 0 and token = '$'").join(ok.toDF("lang", "before", "code", "ok"), ["lang", "before", "code"], "left")
     outer = F.col("depth") - F.col("step")
     ends = F.col("nl").isNotNull()
-    script = F.col("lang").isin("js", "ts") & (ends | (F.col("code") == "}") | (F.col("code") == "$")) & (F.col("ok").isNull() | (ends & F.col("code").isin(*grammar.STARTERS)))
+    script = F.col("lang").isin("js", "ts") & (ends | (F.col("code") == "}") | (F.col("code") == "$")) & (F.col("ok").isNull() | (ends & F.col("code").isin(*grammar.STARTERS) & F.col("before").isin(*"ns0)]}i")))
     sep = (
         F.when(F.col("lang").isin("toml"), F.when(ends, "N"))
         .when(F.col("lang") == "py", F.when((outer == 0) & (ends | (F.col("token") == "$")), "N"))
