@@ -124,4 +124,4 @@ def report(documents: DataFrame, targets: DataFrame) -> DataFrame:
 
 def found(documents: DataFrame, targets: DataFrame) -> DataFrame:
     """(mix_id, source): target rows whose source can't supply its share, and whose selection gave all that it may."""
-    return report(documents, targets).where("short").select("mix_id", "source")
+    return report(documents, targets).where("short and reached < needed").select("mix_id", "source")
