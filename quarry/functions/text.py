@@ -127,3 +127,55 @@ def highlight(text: Column, query: str) -> Column:
 
     words = [re.escape(w) for w in query.split() if len(w) > 1]
     return F.regexp_replace(text, f"(?i)({'|'.join(words)})", "<mark>$1</mark>") if words else text
+
+
+# Strings that name a module, in JavaScript and TypeScript, and in Go.
+SCRIPT_FILES = "js jsx mjs cjs ts tsx mts cts".split()
+SCRIPT_IMPORTS = [r"(?m)^[ \t]*(?:import|export)[^A-Za-z0-9_][^'\";]*?from[ \t]*['\"]([^'\"\n]+)['\"]", r"(?m)^[ \t]*import[ \t]*['\"]([^'\"\n]+)['\"]"]
+GO_BLOCK, GO_IMPORT, GO_NAME = r"(?m)^import[ \t]*\(([^)]*)\)", r"(?m)^import[ \t]+(?:[A-Za-z0-9_.]+[ \t]+)?\"([^\"\n]+)\"", r"\"([^\"\n]+)\""
+
+
+def imports(text: Column, path: Column) -> Column:
+    """Distinct quoted modules that a source file imports, sorted; other languages, null texts and paths give none."""
+    body, end = F.coalesce(text, F.lit("")), extension(path)
+    find = lambda t, p: F.regexp_extract_all(t, F.lit(p), F.lit(1))
+    script = F.concat(*[find(body, p) for p in SCRIPT_IMPORTS])
+    go = F.concat(find(F.array_join(find(body, GO_BLOCK), "\n"), GO_NAME), find(body, GO_IMPORT))
+    return F.array_sort(F.array_distinct(F.when(end.isin(SCRIPT_FILES), script).when(end == "go", go).otherwise(F.array().cast("array<string>"))))
+
+
+def build_url(template: Column, path: Column) -> Column:
+    """The path put at {path} of the template, or behind it; null without a template."""
+    behind = F.concat(F.regexp_replace(template, "/\\z", ""), F.lit("/"), path)
+    # only the first {path} is one
+    at = F.instr(template, "{path}")
+    inside = F.concat(F.substring(template, F.lit(1), at - 1), path, F.substring(template, at + 6, F.length(template)))
+    return F.when(F.coalesce(template, F.lit("")) != "", F.when(at > 0, inside).otherwise(behind))
+
+
+def descriptor(title: Column, snippet: Column) -> Column:
+    """A short label: the title's last path part, or the snippet's first four words; at most 34 characters."""
+    t = F.trim(F.coalesce(title, F.lit("")))
+    t = F.when(t != "", t).otherwise(F.array_join(F.slice(F.split(F.coalesce(snippet, F.lit("")), "[ \\t\\r\\n]+"), 1, 4), " "))
+    end = F.element_at(F.split(t, "/"), -1)
+    t = F.when(end != "", end).otherwise(t)
+    return F.when(F.length(t) > 34, F.concat(F.substring(t, 1, 33), F.lit("…"))).when(t != "", t).otherwise("·")
+
+
+def hue(name: Column) -> Column:
+    """A colour angle that depends on the name only; 0 for null and empty names."""
+    codes = F.transform(F.split(F.coalesce(name, F.lit("")), ""), lambda c: F.ascii(c).cast("long"))
+    return F.pmod(F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c, F.lit(1 << 32))), F.lit(360))
+
+
+def relative_age(at: Column, now: Column) -> Column:
+    """How long before now: seconds below 90, minutes, hours below a day and a half, days; empty if later or null."""
+    d = (F.unix_micros(now) - F.unix_micros(at)) / 1_000_000
+    said = lambda unit, mark: F.concat(F.floor(d / unit + 0.5).cast("string"), F.lit(mark))
+    late = F.when(d < 90, said(1, "s")).when(d < 5400, said(60, "m")).when(d < 129600, said(3600, "h")).otherwise(said(86400, "d"))
+    return F.when(d >= 0, late).otherwise("")
+
+
+def annotate(text: Column, uris: Column, mark: str = " [unverified]") -> Column:
+    """The text with the mark behind each occurrence of each of the uris; without uris the text as it is."""
+    return F.aggregate(F.coalesce(uris, F.array().cast("array<string>")), text, lambda t, u: F.replace(t, u, F.concat(u, F.lit(mark))))

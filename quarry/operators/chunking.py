@@ -72,36 +72,56 @@ def _declarations(path: str, text: str, least: int) -> list[tuple[str, str]] | N
     return out or None
 
 
+def chunk_settings(projects: DataFrame) -> DataFrame:
+    """(project_id, strategy, max_chars, overlap, min_chars, prefix) of each project; what is absent or no use takes the defaults."""
+    said = lambda field: F.get_json_object("chunk_cfg", f"$.{field}")
+    number = lambda field, least, default: F.when(said(field).try_cast("int") >= least, said(field).try_cast("int")).otherwise(default)
+    return projects.select(
+        F.col("id").alias("project_id"),
+        F.coalesce(said("strategy"), F.lit("auto")).alias("strategy"),
+        number("max_chars", 1, MAX_CHARS).alias("max_chars"),
+        number("overlap", 0, OVERLAP).alias("overlap"),
+        number("min_chars", 0, MIN_CHARS).alias("min_chars"),
+        F.coalesce(said("context_prefix").try_cast("boolean"), F.lit(True)).alias("prefix"),
+    ).dropDuplicates(["project_id"])
+
+
 def chunk_files(files: DataFrame, max_chars: int = MAX_CHARS, overlap: int = OVERLAP, min_chars: int = MIN_CHARS, prefix: bool = True) -> DataFrame:
     """(id, ordinal, title, text, unit_type) of files (id, rel_path, content), by the strategy of the extension.
 
-    Python files give their declarations if they parse, other code line windows, markdown its sections, text windows
-    of characters. Pieces under min_chars are dropped unless the file gave one only. Null contents give no rows.
+    Columns strategy, max_chars, overlap, min_chars and prefix set these per file; where they are absent or null the
+    arguments hold. Python files give their declarations if they parse, other code line windows, markdown its sections,
+    text windows of characters. Pieces under min_chars are dropped unless the file gave one only. Null contents and
+    paths give no rows.
     """
+    given = lambda name, default: F.coalesce(F.col(name), F.lit(default)).alias(name) if name in files.columns else F.lit(default).alias(name)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             rows = []
-            for i, path, kind, text in zip(f["id"], f["rel_path"], f["strategy"], f["content"]):
-                declared = _declarations(path, text, min_chars) if path.lower().endswith(".py") else None
+            for i, path, text, kind, most, lap, least, titled in f.itertuples(index=False, name=None):
+                declared = _declarations(path, text, least) if path.lower().endswith(".py") else None
+                carry = -(-lap // 40)
                 if declared:
                     raw = declared
                 elif kind == "markdown":
-                    raw = _sections(text, max_chars)
+                    raw = _sections(text, most)
                 elif kind == "code":
-                    raw = [(path, b) for b in _lines(text, max_chars, -(-overlap // 40))]
+                    raw = [(path, b) for b in _lines(text, most, carry)]
                 else:
-                    step = max(1, max_chars - overlap)
-                    raw = [(path, text[s : s + max_chars]) for s in range(0, max(1, len(text) - max_chars + step), step)]
+                    step = max(1, most - lap)
+                    raw = [(path, text[s : s + most]) for s in range(0, max(1, len(text) - most + step), step)]
                 n = 0
                 for title, body in raw:
                     body = body.strip()
-                    if len(body) < min_chars and len(raw) > 1 and not declared:
+                    if len(body) < least and len(raw) > 1 and not declared:
                         continue
-                    rows.append((i, path, n, title, f"{title}\n\n{body}" if prefix and title and not body.startswith(title) else body))
+                    rows.append((i, path, n, title, f"{title}\n\n{body}" if titled and title and not body.startswith(title) else body))
                     n += 1
             yield pd.DataFrame(rows, columns=["id", "rel_path", "ordinal", "title", "text"])
 
-    ready = files.where("content is not null and rel_path is not null").select("id", "rel_path", T.strategy(F.col("rel_path")).alias("strategy"), F.replace("content", F.lit("\0"), F.lit("")).alias("content"))
+    kind = T.strategy(F.col("rel_path"), F.col("strategy") if "strategy" in files.columns else None).alias("strategy")
+    sizes = [given("max_chars", max_chars), given("overlap", overlap), given("min_chars", min_chars), given("prefix", prefix)]
+    ready = files.where("content is not null and rel_path is not null").select("id", "rel_path", F.replace("content", F.lit("\0"), F.lit("")).alias("content"), kind, *sizes)
     out = ready.mapInPandas(run, "id string, rel_path string, ordinal int, title string, text string")
     return out.select("id", "ordinal", "title", "text", T.unit_type(F.col("text"), F.col("rel_path")).alias("unit_type"))

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from quarry.functions.text import half_up
 
@@ -64,3 +66,48 @@ def spiral(groups: DataFrame, key: str, step: float = 1.6) -> DataFrame:
     turn = F.lit(math.pi * (3 - math.sqrt(5))) * F.col("i")
     at = lambda v: F.when(F.col("n") > 1, F.round(v * radius, 4)).otherwise(0.0)
     return rows.select(key, at(F.cos(turn) * ring).alias("x"), at(y * 0.55).alias("y"), at(F.sin(turn) * ring).alias("z"))
+
+
+def sampled(rows: DataFrame, group: str, key: str, n: int, seed: str = "") -> DataFrame:
+    """At most n rows of each group, in the order of a seeded hash of the key: the same rows each time."""
+    order = F.sha2(F.concat(F.lit(seed), F.col(key).cast("string")), 256)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(order, key))
+    return rows.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
+
+
+def group_graphs(rows: DataFrame, n: int = 400, least: int = 24, k: int = 3, radius: float = 3.0) -> DataFrame:
+    """(group, id, x, y, z, links): a graph per group of a sample of (id, group, vec), each at its place on the spiral.
+
+    The sample is the feature: n nodes over all groups, at least `least` in each, so a task never holds more. Positions are
+    the sample's first three principal components, signs set by the largest loading; fewer than four nodes form a ring.
+    links are the k nearest of the group's sample by dot product, (id, weight). Null vectors and ids are left out; a null
+    group counts as the empty string.
+    """
+    rows = rows.where("id is not null and vec is not null").select("id", F.coalesce(F.col("group").cast("string"), F.lit("")).alias("group"), "vec")
+    count = rows.select("group").distinct().count()
+    some = sampled(rows, "group", "id", max(least, n // max(1, count)))
+
+    def place(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("id", ignore_index=True)
+        x = np.array([np.nan_to_num(np.asarray(v, dtype=float)) for v in f["vec"]])
+        if len(x) < 4 or x.shape[1] < 3:
+            turn = 2 * math.pi * np.arange(len(x)) / len(x)
+            p = np.stack([np.cos(turn), np.sin(turn), 0 * turn], axis=1)
+        else:
+            centred = x - x.mean(0)
+            loads = np.linalg.svd(centred, full_matrices=False)[2][:3]
+            loads *= np.sign(loads[np.arange(3), np.abs(loads).argmax(1)])[:, None]
+            p = centred @ loads.T
+        p *= radius / max(1e-6, np.abs(p).max())
+        dot = x @ x.T
+        np.fill_diagonal(dot, -np.inf)
+        near = np.argsort(-dot, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+        f["links"] = [[{"id": f["id"][int(j)], "weight": math.floor(dot[i, j] * 1e4 + 0.5) / 1e4} for j in near[i]] for i in range(len(x))]
+        f["x"], f["y"], f["z"] = p.T
+        return f[["group", "id", "x", "y", "z", "links"]]
+
+    link = S.StructType([S.StructField("id", rows.schema["id"].dataType), S.StructField("weight", S.DoubleType())])
+    fields = [S.StructField("group", S.StringType()), S.StructField("id", rows.schema["id"].dataType), *[S.StructField(c, S.DoubleType()) for c in "xyz"], S.StructField("links", S.ArrayType(link))]
+    placed = some.groupBy("group").applyInPandas(place, S.StructType(fields))
+    centre = spiral(rows, "group").select("group", *[F.col(c).alias(f"c{c}") for c in "xyz"])
+    return placed.join(centre, "group").select("group", "id", *[half_up(F.col(c) + F.col(f"c{c}"), 4).alias(c) for c in "xyz"], "links")

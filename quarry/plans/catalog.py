@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import chunking, graph, memory, retrieval
 from quarry.operators.snapshot import append_absent, latest, upsert
-from quarry.plans import oracle
+from quarry.plans import files, oracle
 from quarry.session import table
 from quarry.streaming import tail
 
@@ -84,8 +84,9 @@ def unit_types(docs: DataFrame) -> DataFrame:
     return typed.groupBy("strategy", "unit_type").agg(F.count("*").alias("files"))
 
 
-def _chunks(docs: DataFrame) -> DataFrame:
-    return chunking.chunk_files(_current(docs).select("id", "rel_path", "content"))
+def _chunks(docs: DataFrame, projects: DataFrame) -> DataFrame:
+    now = _current(docs).select("id", "project_id", "rel_path", "content")
+    return chunking.chunk_files(now.join(chunking.chunk_settings(projects), "project_id", "left"))
 
 
 def doc_spine(docs: DataFrame) -> DataFrame:
@@ -134,14 +135,15 @@ def _refs(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.explode(T.references(F.col(text))).alias("r")).select(key, "r.kind", "r.uri")
 
 
-def extract_refs(messages: DataFrame) -> DataFrame:
-    return _refs(messages, "id", "text").groupBy("kind", "uri").agg(F.countDistinct("id").alias("messages"))
+def extract_refs(docs: DataFrame) -> DataFrame:
+    return _refs(_current(docs), "id", "content").groupBy("kind", "uri").agg(F.countDistinct("id").alias("files"))
 
 
-def citation_verdicts(messages: DataFrame, docs: DataFrame) -> DataFrame:
-    """How often the references of messages occur in the documents: verified ones do."""
-    cited = _refs(messages, "id", "text").select("kind", F.lower("uri").alias("uri"), "id").distinct()
-    there = _refs(docs, "doc_id", "text").select("kind", F.lower("uri").alias("uri")).distinct().withColumn("ok", F.lit(True))
+def citation_verdicts(docs: DataFrame) -> DataFrame:
+    """How many of the references of current files lead to a page: verified ones are in the addresses or titles of files."""
+    cited = _refs(_current(docs), "id", "content").select("kind", F.lower("uri").alias("uri"), "id").distinct()
+    named = docs.select("id", F.concat_ws(" ", "url", "title").alias("named"))
+    there = _refs(named, "id", "named").select("kind", F.lower("uri").alias("uri")).distinct().withColumn("ok", F.lit(True))
     out = cited.join(there, ["kind", "uri"], "left")
     return out.groupBy("kind").agg(F.count_if(F.col("ok").isNotNull()).alias("verified"), F.count_if(F.col("ok").isNull()).alias("unverified"))
 
@@ -220,7 +222,7 @@ def approx_parts(items: DataFrame) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "chunk_char_windows": _over(chunk_char_windows, "documents"),
-        "chunk_files": _over(_chunks, "kb_document"),
+        "chunk_files": _over(_chunks, "kb_document", "kb_project"),
         "doc_content_dedup": _over(doc_content_dedup, "documents"),
         "hash_diff_changed": _over(hash_diff_changed, "kb_document"),
         "doc_upsert_snapshot": _over(doc_upsert_snapshot, "kb_document"),
@@ -233,8 +235,8 @@ def queries() -> dict[str, Query]:
         "hybrid_search": _over(hybrid_search, "documents", "subject_area"),
         "hybrid_search_global": _over(hybrid_search_global, "documents", "subject_area"),
         "signal_summary": _over(signal_summary, "documents", "subject_area"),
-        "extract_refs": _over(extract_refs, "message"),
-        "citation_verdicts": _over(citation_verdicts, "message", "documents"),
+        "extract_refs": _over(extract_refs, "kb_document"),
+        "citation_verdicts": _over(citation_verdicts, "kb_document"),
         "claim_support": _over(claim_support, "intent_resolution", "intent"),
         "budget_assembly": _over(budget_assembly, "documents"),
         "query_intents": _over(query_intents, "intent"),
@@ -253,8 +255,8 @@ def queries() -> dict[str, Query]:
         "stream_tail": stream_tail,
         "asof_orders": _over(asof_orders, "orders", "lineitem"),
         "approx_parts": _over(approx_parts, "lineitem"),
-    } | {name: _sql(text) for name, text in oracle.SHARED.items()}
+    } | files.queries() | {name: _sql(text) for name, text in (oracle.SHARED | files.SHARED).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | oracle.SHARED
+    return oracle.SQL | oracle.SHARED | files.SQL | files.SHARED

@@ -38,7 +38,7 @@ n AS (SELECT intent_id, count(DISTINCT id) AS resolutions FROM intent_resolution
 i AS (SELECT id, max(frequency) AS frequency, max(last_seen) AS last_seen FROM intent GROUP BY id)
 SELECT i.id, i.frequency, b.id AS best, b.score, coalesce(n.resolutions, 0) AS resolutions
 FROM i LEFT JOIN best b ON b.intent_id = i.id AND b.r = 1 LEFT JOIN n ON n.intent_id = i.id ORDER BY i.last_seen DESC NULLS LAST, i.frequency DESC, i.id LIMIT 200""",
-    "intent_stats": "SELECT id, frequency, last_seen FROM (SELECT DISTINCT id, frequency, last_seen FROM intent) x ORDER BY frequency DESC, last_seen DESC NULLS LAST, id LIMIT 25",
+    "intent_stats": "SELECT id, frequency, last_seen FROM (SELECT DISTINCT id, frequency, CAST(last_seen AS TIMESTAMP) AS last_seen FROM intent) x ORDER BY frequency DESC, last_seen DESC NULLS LAST, id LIMIT 25",
     "salience_decay": """
 WITH u AS (SELECT user_id, count(*) AS hits, max(event_id) AS newest FROM events GROUP BY user_id), m AS (SELECT max(event_id) AS top FROM events)
 SELECT user_id, round(0.5 * exp(-0.001 * (top - newest)) + 0.2 * ln(1.0 + hits), 6) AS salience FROM u JOIN m ON true""",
@@ -160,10 +160,10 @@ SELECT least(q, id) AS a, greatest(q, id) AS b, max(floor(c * 1e4 + 0.5) / 1e4)
     "hybrid_search_global": _fused("query_id, project", 16) + " SELECT query_id, rank, project, doc_id, dense, sparse, rrf, tier FROM h",
     "signal_summary": _fused("query_id", 32)
     + " SELECT query_id, count(*) FILTER (dense > 0) AS dense, count(*) FILTER (sparse > 0) AS lexical, count(*) FILTER (dense > 0 AND sparse > 0) AS both, count(*) AS total FROM h GROUP BY 1",
-    "extract_refs": f"SELECT r.kind AS kind, r.uri AS uri, count(DISTINCT id) AS messages FROM (SELECT id, unnest({_REFS.format(t='text')}) AS r FROM message WHERE text IS NOT NULL) GROUP BY ALL",
+    "extract_refs": f"WITH {_CURRENT} SELECT r.kind AS kind, r.uri AS uri, count(DISTINCT id) AS files FROM (SELECT id, unnest({_REFS.format(t='content')}) AS r FROM cur WHERE content IS NOT NULL) GROUP BY ALL",
     "citation_verdicts": f"""
-WITH c AS (SELECT DISTINCT r.kind AS kind, lower(r.uri) AS uri, id FROM (SELECT id, unnest({_REFS.format(t="text")}) AS r FROM message WHERE text IS NOT NULL)),
-d AS (SELECT DISTINCT r.kind AS kind, lower(r.uri) AS uri, true AS ok FROM (SELECT unnest({_REFS.format(t="text")}) AS r FROM documents WHERE text IS NOT NULL))
+WITH {_CURRENT}, c AS (SELECT DISTINCT r.kind AS kind, lower(r.uri) AS uri, id FROM (SELECT id, unnest({_REFS.format(t="content")}) AS r FROM cur WHERE content IS NOT NULL)),
+d AS (SELECT DISTINCT r.kind AS kind, lower(r.uri) AS uri, true AS ok FROM (SELECT unnest({_REFS.format(t="concat_ws(' ', url, title)")}) AS r FROM kb_document))
 SELECT c.kind, count(*) FILTER (ok IS NOT NULL) AS verified, count(*) FILTER (ok IS NULL) AS unverified FROM c LEFT JOIN d USING (kind, uri) GROUP BY 1""",
     "claim_support": """
 WITH i AS (SELECT DISTINCT id, list_distinct(regexp_extract_all(lower(coalesce(intent_text, '')), '[0-9]+(?:[/:.\\-][0-9]+)+|[A-Za-z0-9_]+')) AS c FROM intent),
@@ -181,7 +181,7 @@ n AS (SELECT CASE WHEN own AND NOT common THEN 'scoped' WHEN common AND NOT own
 SELECT intent, CASE intent WHEN 'scoped' THEN 0.8 WHEN 'shared' THEN 0.2 ELSE 0.5 END AS scoped, CASE intent WHEN 'scoped' THEN 0.2 WHEN 'shared' THEN 0.8 ELSE 0.5 END AS shared, count(*) AS n FROM n GROUP BY 1""",
     "intent_normalized": f"""
 WITH t AS (SELECT array_to_string({_intent_terms("text")}, ' ') AS normalized, created_at FROM message WHERE {_USER})
-SELECT 'i' || substr(sha256(normalized), 1, 30) AS id, normalized, count(*) AS frequency, min(created_at) AS first_seen, max(created_at) AS last_seen FROM t WHERE normalized <> '' GROUP BY normalized""",
+SELECT 'i' || substr(sha256(normalized), 1, 30) AS id, normalized, count(*) AS frequency, min(created_at)::TIMESTAMP AS first_seen, max(created_at)::TIMESTAMP AS last_seen FROM t WHERE normalized <> '' GROUP BY normalized""",
     "intent_recall": f"""
 WITH i AS (SELECT id, any_value(list_distinct({_intent_terms("intent_text")})) AS s FROM intent GROUP BY id),
 p AS (SELECT a.id AS query_id, b.id AS id, len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) AS raw FROM i a JOIN i b ON a.id <> b.id

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,10 +12,9 @@ from pyspark.sql import types as T
 from quarry.operators.memory import MACHINE
 
 
-@F.udf(T.StringType())
-def _flat(content: str | None) -> str | None:
-    """Text of a content: a string, or blocks nested to any depth, of which text goes before content."""
-    import json
+@F.pandas_udf(T.StringType())
+def _flat(contents: pd.Series) -> pd.Series:
+    """Text of a content of blocks nested to any depth, of which text goes before content."""
 
     def walk(x) -> str:
         if isinstance(x, str):
@@ -23,20 +25,44 @@ def _flat(content: str | None) -> str | None:
             return walk(x["text"] if x.get("text") is not None else x.get("content"))
         return "" if x is None else str(x)
 
-    try:
-        return walk(json.loads(content)) if content is not None else None
-    except ValueError:
-        return content
+    def one(content: str | None) -> str | None:
+        try:
+            return walk(json.loads(content)) if content is not None else None
+        except ValueError:
+            return content
+
+    return pd.Series([one(c) for c in contents], dtype=object)
 
 
 def _text(v: Column, path: str) -> Column:
-    return F.replace(_flat(F.to_json(F.try_variant_get(v, path, "variant"))), F.lit("\0"), F.lit(""))
+    """Text at the path. Plain strings stay in the JVM; only blocks go through Python."""
+    content = F.try_variant_get(v, path, "variant")
+    plain = F.schema_of_variant(content) == "STRING"
+    blocks = _flat(F.when(~plain, F.to_json(content)))
+    return F.replace(F.when(plain, F.try_variant_get(v, path, "string")).otherwise(blocks), F.lit("\0"), F.lit(""))
+
+
+#: A character that is no white space, of any script.
+VISIBLE = "(?U)[^\\s\\x{FEFF}]"
 
 
 def _string(v: Column, path: str) -> Column:
     return F.try_variant_get(v, path, "string")
 
 
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """(path, at, role, text) of transcript lines (path, at, line), wrapped or plain; lines that are blank, malformed or no
+    object, that have another role, or no text, are left out."""
+    lines = lines.withColumn("v", F.try_parse_json("line"))
+    wrapped = _string(F.col("v"), "$.payload.type").isNotNull()
+    kind = F.when(wrapped, F.when(_string(F.col("v"), "$.payload.type") == "message", _string(F.col("v"), "$.payload.role"))).otherwise(
+        F.coalesce(_string(F.col("v"), "$.message.role"), _string(F.col("v"), "$.type"))
+    )
+    text = F.when(wrapped, _text(F.col("v"), "$.payload.content")).otherwise(F.coalesce(_text(F.col("v"), "$.message.content"), _text(F.col("v"), "$.content")))
+    turns = lines.where("v is not null").select("path", "at", kind.alias("role"), text.alias("text"), wrapped.alias("w"))
+    return turns.where("role in ('user', 'assistant') or (role = 'tool' and not w)").where(F.col("text").rlike(VISIBLE)).drop("w")
+
+
 def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     """(path, seq, role, text) of the transcripts below a path or glob.
 
@@ -51,15 +77,8 @@ def read_transcripts(spark: SparkSession, path: str) -> DataFrame:
     docs = files.where("whole").select("path", F.posexplode(F.try_variant_get(F.try_parse_json("value"), "$.messages", "array<variant>")).alias("at", "v"))
     role = F.when(_string(F.col("v"), "$.type") == "gemini", "assistant").otherwise(_string(F.col("v"), "$.type"))
     from_docs = docs.select("path", "at", role.alias("role"), _text(F.col("v"), "$.content").alias("text")).where("role in ('user', 'assistant')")
-    lines = files.where("not whole").select("path", F.posexplode(F.split("value", "\r?\n")).alias("at", "line")).withColumn("v", F.try_parse_json("line"))
-    wrapped = _string(F.col("v"), "$.payload.type").isNotNull()
-    kind = F.when(wrapped, F.when(_string(F.col("v"), "$.payload.type") == "message", _string(F.col("v"), "$.payload.role"))).otherwise(
-        F.coalesce(_string(F.col("v"), "$.message.role"), _string(F.col("v"), "$.type"))
-    )
-    text = F.when(wrapped, _text(F.col("v"), "$.payload.content")).otherwise(F.coalesce(_text(F.col("v"), "$.message.content"), _text(F.col("v"), "$.content")))
-    from_lines = lines.where("v is not null").select("path", "at", kind.alias("role"), text.alias("text"), wrapped.alias("w"))
-    from_lines = from_lines.where("role in ('user', 'assistant') or (role = 'tool' and not w)").drop("w")
-    turns = from_docs.unionByName(from_lines).where("trim(text) <> ''")
+    lines = files.where("not whole").select("path", F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    turns = from_docs.where(F.col("text").rlike(VISIBLE)).unionByName(parse_lines(lines))
     return turns.withColumn("seq", F.row_number().over(Window.partitionBy("path").orderBy("at")) - 1).select("path", "seq", "role", "text")
 
 
