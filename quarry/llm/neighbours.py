@@ -20,6 +20,8 @@ SAMPLE = 8192
 CENTROIDS = 64
 #: Cells are stored in blocks: a sixteenth of all vectors each, within these bounds.
 BLOCK_SHARE, BLOCK_LEAST, BLOCK_MOST = 16, 2048, 65_536
+#: Nearest cells are probed until they hold so many blocks of entries; fewer will do where only close neighbours are wanted.
+REACH, CLOSE_REACH = 2.0, 0.5
 #: Queries multiplied with a block at once.
 CHUNK = 512
 
@@ -163,7 +165,7 @@ def _distinct(rows: DataFrame, dim: int, vector: str, key: str) -> DataFrame:
     return units.select(F.unhex(F.md5("vec")).alias("h"), "vec").dropDuplicates(["h"])
 
 
-def nearest_distinct(rows: DataFrame, k: int, dim: int, vector: str, key: str, min_cosine: float, centroids: int) -> DataFrame:
+def nearest_distinct(rows: DataFrame, k: int, dim: int, vector: str, key: str, min_cosine: float, centroids: int, reach: float) -> DataFrame:
     """(h, nh, cosine): for each distinct vector (h, its digest) the k most similar other distinct ones."""
     spark: SparkSession = rows.sparkSession
     n = rows.count()
@@ -183,7 +185,7 @@ def nearest_distinct(rows: DataFrame, k: int, dim: int, vector: str, key: str, m
         return spark.createDataFrame([], "h binary, nh binary, cosine double")
     most = min(BLOCK_MOST, max(BLOCK_LEAST, -(-sum(counts.values()) // BLOCK_SHARE)))
     index.store({int(c): int(m) for c, m in counts.items()}, most)
-    stored, wanted = spark.sparkContext.broadcast(index), max(1000, most // 2)
+    stored, wanted = spark.sparkContext.broadcast(index), max(1000, int(most * reach))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector to the slice of its block (kind 0, it is entry and query there), and as a query to the other slices it probes (kind 1)."""
@@ -256,7 +258,7 @@ def nearest_distinct(rows: DataFrame, k: int, dim: int, vector: str, key: str, m
     return near.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
-def nearest(rows: DataFrame, k: int = 10, dim: int = 384, vector: str = "embedding", key: str = "embedding_id", min_cosine: float = -2.0, centroids: int = CENTROIDS) -> DataFrame:
+def nearest(rows: DataFrame, k: int = 10, dim: int = 384, vector: str = "embedding", key: str = "embedding_id", min_cosine: float = -2.0, centroids: int = CENTROIDS, reach: float = REACH) -> DataFrame:
     """(id, neighbour, cosine, rank): the k most similar others of every usable vector, ties by id.
 
     Only neighbours of at least `min_cosine` come out; that is exact for what is left, since those rank first.
@@ -264,12 +266,12 @@ def nearest(rows: DataFrame, k: int = 10, dim: int = 384, vector: str = "embeddi
     count once; an id with several vectors counts with each of them and the best cosine. Equal vectors are searched once
     and share the result; of a group of equals each gets the first k others by id, so a group is never squared.
     Approximate: the codebooks come from a bounded sample, every vector is indexed, and the blocks that hold the cells
-    nearest to a vector, up to half a block of entries, are searched whole.
+    nearest to a vector, up to `reach` blocks of entries, are searched whole.
     """
     units = unit_vectors(rows, dim, vector, key).select("id", F.unhex(F.md5("vec")).alias("h")).distinct()
     by_id = Window.partitionBy("h").orderBy("id")
     firsts = units.withColumn("r", F.row_number().over(by_id)).where(F.col("r") <= k + 1).groupBy("h").agg(F.sort_array(F.collect_list("id")).alias("ids"))
-    near = nearest_distinct(rows, k, dim, vector, key, min_cosine, centroids)
+    near = nearest_distinct(rows, k, dim, vector, key, min_cosine, centroids, reach)
     far = near.join(firsts.withColumnRenamed("h", "nh"), "nh").select("h", F.struct("cosine", "ids").alias("n"))
     own = firsts.where(F.size("ids") > 1).select("h", F.struct(F.lit(1.0).alias("cosine"), "ids").alias("n"))
     lists = far.unionByName(own).groupBy("h").agg(F.collect_list("n").alias("ns"))  # at most k + 1 lists of k + 1 ids
@@ -283,5 +285,5 @@ def nearest(rows: DataFrame, k: int = 10, dim: int = 384, vector: str = "embeddi
 
 def found(rows: DataFrame, min_cosine: float = 0.9) -> DataFrame:
     """(a_id, b_id), a_id < b_id: one is among the 10 most similar of the other, with a cosine of at least 0.9."""
-    near = nearest(rows, min_cosine=min_cosine)
+    near = nearest(rows, min_cosine=min_cosine, reach=CLOSE_REACH)
     return near.select(F.least("id", "neighbour").alias("a_id"), F.greatest("id", "neighbour").alias("b_id")).distinct()
