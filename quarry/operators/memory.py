@@ -16,21 +16,35 @@ MACHINE = (
 )
 
 
-def user_turns(messages: DataFrame) -> DataFrame:
-    """User rows with text that no program wrote."""
-    return messages.where((F.lower(F.trim("role")) == "user") & F.col("text").isNotNull() & F.col("text").rlike("[^ \\t\\r\\n]") & ~F.col("text").rlike(MACHINE))
+def resolved(messages: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """Messages with session_id in lower case and the role that its spelling, trimmed and case-folded, has in (alias, role).
+
+    A spelling that is not there stands for itself, as all do without a table.
+    """
+    spelling = F.lower(F.trim("role"))
+    rows = messages.withColumn("session_id", F.lower("session_id")) if "session_id" in messages.columns else messages
+    if aliases is None:
+        return rows.withColumn("role", spelling)
+    known = aliases.select(F.lower(F.trim("alias")).alias("__alias"), F.lower(F.trim("role")).alias("__role")).where("__alias is not null").dropDuplicates(["__alias"])
+    named = rows.withColumn("__spelling", spelling).join(F.broadcast(known), F.col("__spelling") == F.col("__alias"), "left")
+    return named.withColumn("role", F.coalesce("__role", "__spelling")).drop("__spelling", "__alias", "__role")
+
+
+def user_turns(messages: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """User rows, by any spelling of the role, with text that no program wrote."""
+    return resolved(messages, aliases).where((F.col("role") == "user") & F.col("text").isNotNull() & F.col("text").rlike("[^ \\t\\r\\n]") & ~F.col("text").rlike(MACHINE))
 
 
-def recorded(messages: DataFrame) -> DataFrame:
+def recorded(messages: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(id, normalized, frequency, first_seen, last_seen): the intents of the user turns; turns without terms are left out."""
-    turns = user_turns(messages).select(F.array_join(T.intent_terms("text"), " ").alias("normalized"), "created_at").where("normalized <> ''")
+    turns = user_turns(messages, aliases).select(F.array_join(T.intent_terms("text"), " ").alias("normalized"), "created_at").where("normalized <> ''")
     per = turns.groupBy("normalized").agg(F.count("*").alias("frequency"), F.min("created_at").alias("first_seen"), F.max("created_at").alias("last_seen"))
     return per.select(T.intent_key(F.col("normalized")).alias("id"), "normalized", "frequency", "first_seen", "last_seen")
 
 
-def graded_turns(messages: DataFrame) -> DataFrame:
+def graded_turns(messages: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(session_id, seq, outcome, score) of each user turn by the next one: re-asked, rejected or accepted. The last of a session has none."""
-    turns = latest(user_turns(messages).where("session_id is not null and seq is not null"), ["session_id", "seq"], "created_at", ["id"])
+    turns = latest(user_turns(messages, aliases).where("session_id is not null and seq is not null"), ["session_id", "seq"], "created_at", ["id"])
     w = Window.partitionBy("session_id").orderBy("seq")
     rows = turns.withColumn("next", F.lead("text").over(w)).where("next is not null")
     rows = rows.withColumn("sim", T.jaccard(F.array_distinct(T.intent_terms("text")), F.array_distinct(T.intent_terms("next"))))

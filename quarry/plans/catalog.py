@@ -183,8 +183,8 @@ def intent_recall(intents: DataFrame) -> DataFrame:
     return memory.recall(rows, asked)
 
 
-def intent_grades(messages: DataFrame) -> DataFrame:
-    return memory.graded_turns(messages).groupBy("outcome", "score").agg(F.count("*").alias("turns"))
+def intent_grades(messages: DataFrame, aliases: DataFrame) -> DataFrame:
+    return memory.graded_turns(messages, aliases).groupBy("outcome", "score").agg(F.count("*").alias("turns"))
 
 
 def bundled_positions(rows: DataFrame) -> DataFrame:
@@ -240,9 +240,9 @@ def queries() -> dict[str, Query]:
         "claim_support": _over(claim_support, "intent_resolution", "intent"),
         "budget_assembly": _over(budget_assembly, "documents"),
         "query_intents": _over(query_intents, "intent"),
-        "intent_normalized": _over(memory.recorded, "message"),
+        "intent_normalized": _over(memory.recorded, "message", "role_alias"),
         "intent_recall": _over(intent_recall, "intent"),
-        "intent_grades": _over(intent_grades, "message"),
+        "intent_grades": _over(intent_grades, "message", "role_alias"),
         "intent_retention": _over(lambda r: memory.retained(r).select("intent_id", "id", "score"), "intent_resolution"),
         "knn_links": _over(knn_links, "embeddings"),
         "node_degree": _over(lambda e: graph.degrees(knn_links(e)), "embeddings"),

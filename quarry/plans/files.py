@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import graph
-from quarry.operators.memory import MACHINE
+from quarry.operators.memory import MACHINE, resolved
 from quarry.operators.snapshot import latest
 from quarry.plans import oracle
 from quarry.session import table
@@ -75,9 +75,10 @@ def nearest_project(docs: DataFrame, projects: DataFrame) -> DataFrame:
     return best.groupBy(F.col("b.name").alias("project"), F.col("b.depth").alias("depth")).agg(F.count("*").alias("files"))
 
 
-def transcript_messages(messages: DataFrame) -> DataFrame:
+def transcript_messages(messages: DataFrame, aliases: DataFrame) -> DataFrame:
     """Messages written as lines of transcripts, plain and wrapped by turns, and read back: turns and characters per role."""
-    role, body = F.lower(F.trim("role")), F.col("text")
+    messages = resolved(messages, aliases)
+    role, body = F.col("role"), F.col("text")
     blocks = F.to_json(F.struct(F.struct(role.alias("role"), F.array(F.struct(F.lit("text").alias("type"), body.alias("text"))).alias("content")).alias("message")))
     plain = F.to_json(F.struct(role.alias("type"), body.alias("content")))
     wrapped = F.to_json(F.struct(F.struct(F.lit("message").alias("type"), role.alias("role"), body.alias("content")).alias("payload")))
@@ -86,10 +87,10 @@ def transcript_messages(messages: DataFrame) -> DataFrame:
     return turns.groupBy("role").agg(F.count("*").alias("turns"), F.sum(F.length("text")).alias("chars"))
 
 
-def prompt_pairs(messages: DataFrame) -> DataFrame:
+def prompt_pairs(messages: DataFrame, aliases: DataFrame) -> DataFrame:
     """(session_id, seq, previous): each user turn that no program wrote, with the one before it in its session."""
-    own = messages.where("session_id is not null and seq is not null and text is not null").where((F.lower(F.trim("role")) == "user") & ~F.col("text").rlike(MACHINE))
-    once = own.select(F.lower("session_id").alias("session_id"), "seq").distinct()
+    own = resolved(messages, aliases).where("session_id is not null and seq is not null and text is not null").where((F.col("role") == "user") & ~F.col("text").rlike(MACHINE))
+    once = own.select("session_id", "seq").distinct()
     return once.withColumn("previous", F.lag("seq").over(Window.partitionBy("session_id").orderBy("seq"))).where("previous is not null")
 
 
@@ -110,8 +111,8 @@ def queries() -> dict[str, Query]:
         "document_detail": _over(document_detail, "kb_document"),
         "document_cards": _over(document_cards, "kb_document", "kb_project"),
         "nearest_project": _over(nearest_project, "kb_document", "kb_project"),
-        "transcript_messages": _over(transcript_messages, "message"),
-        "prompt_pairs": _over(prompt_pairs, "message"),
+        "transcript_messages": _over(transcript_messages, "message", "role_alias"),
+        "prompt_pairs": _over(prompt_pairs, "message", "role_alias"),
         "node_sample": _over(node_sample, "embeddings"),
         "project_graphs": _over(project_graphs, "embeddings"),
     }
