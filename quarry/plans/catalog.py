@@ -128,7 +128,8 @@ def dense_topk(rows: DataFrame) -> DataFrame:
 
 
 def knn_links(rows: DataFrame) -> DataFrame:
-    return graph.links(_near(rows, 3, False))
+    """The neighbour graph: every row's links to its three nearest of its label."""
+    return graph.links(_near(rows, 3, True))
 
 
 def _refs(df: DataFrame, key: str, text: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import memory
+from quarry.operators import graph, memory
 from quarry.plans import catalog, files
 
 ALIASES = [("user", "user"), ("human", "user"), (" Asker", "user"), ("bot", "assistant"), ("function", "tool")]
@@ -20,3 +20,14 @@ def test_every_spelling_of_a_role_and_session_counts(spark):
     assert sum(r.turns for r in catalog.intent_grades(df, aliases).collect()) == 2
     assert [tuple(r) for r in files.prompt_pairs(df, aliases).orderBy("seq").collect()] == [("s", 3, 0), ("s", 6, 3)]
     assert {r.role: r.turns for r in files.transcript_messages(df, aliases).collect()} == {"user": 3, "assistant": 1, "tool": 1}
+
+
+def test_graph_has_the_links_of_every_row(spark):
+    rows = [(i, [float((i * 7) % 11) - 5, float((i * 3) % 5) - 2.5, 1.0], i % 2) for i in range(1, 50)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / (sum(x * x for x in a) * sum(y * y for y in b)) ** 0.5
+    want = set()
+    for i, v, g in rows:
+        want |= {(min(i, j), max(i, j)) for _, j in sorted((-round(cos(v, w), 6), j) for j, w, h in rows if h == g and j != i)[:3]}
+    assert {(r.a, r.b) for r in catalog.knn_links(df).collect()} == want
+    assert {r.node: r.degree for r in graph.degrees(catalog.knn_links(df)).collect()} == {i: sum(i in e for e in want) for i, _, _ in rows}
