@@ -24,6 +24,10 @@ BLOCK_SHARE, BLOCK_LEAST, BLOCK_MOST = 16, 2048, 65_536
 REACH, CLOSE_REACH = 2.0, 0.5
 #: Queries multiplied with a block at once.
 CHUNK = 512
+#: Products looked at and pairs reranked at once, at most; one query's products are not divided.
+PRODUCTS, PAIRS = 2_097_152, 16_384
+#: What float32 may take off a cosine: candidates this far below a bar are reranked too.
+SLACK = 1e-5
 
 
 def _halves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -67,6 +71,34 @@ def unit_vectors(rows: DataFrame, dim: int, vector: str = "embedding", key: str
     return rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("id"), vector).mapInArrow(run, "id string, vec binary")
 
 
+def best(q: np.ndarray, base: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of q, row of base, cosine): the k best rows of base for each row of q, of those with a cosine of at least `least`.
+
+    Candidates are those at the k-th best float32 product or above, so about k a query, and all its ties (where few reach
+    `least`, all of those); they are reranked in float64. Products and reranked pairs are taken in slices, so ties and near copies take no more memory than others.
+    """
+    out = []
+    step = max(1, PRODUCTS // len(base))
+    for at in range(0, len(q), step):
+        part = q[at : at + step]
+        g = part @ base.T
+        above = g >= least - SLACK
+        if len(base) > k and np.count_nonzero(above) > PAIRS:
+            above &= g >= (np.partition(g, -k, axis=1)[:, -k] - SLACK)[:, None]
+        r, c = np.nonzero(above)
+        exact = np.empty(len(r))
+        for i in range(0, len(r), PAIRS):
+            some = slice(i, i + PAIRS)
+            exact[some] = np.einsum("ij,ij->i", part[r[some]].astype(np.float64), base[c[some]].astype(np.float64))
+        fine = exact >= least
+        r, c, exact = r[fine], c[fine], exact[fine]
+        order = np.lexsort((-exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        out.append((r[keep] + at, c[keep], exact[keep]))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 class MultiIndex:
     """Two codebooks, the number of entries per cell, and the block each cell is stored in."""
 
@@ -210,20 +242,9 @@ def nearest_distinct(rows: DataFrame, k: int, dim: int, vector: str, key: str, m
 
         def answer(qi: list, q: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(q), CHUNK):
-                g = q[at : at + CHUNK] @ base.T
-                if g.shape[1] > k + 1:
-                    bar = np.maximum(np.partition(g, -(k + 1), axis=1)[:, -(k + 1)], min_cosine) if min_cosine < -1 else np.full(len(g), min_cosine)
-                    r, c = np.nonzero(g >= bar[:, None])
-                else:
-                    r, c = np.nonzero(g >= min_cosine)
+                r, c, exact = best(q[at : at + CHUNK], base, k + 1, min_cosine)
                 if not len(r):
                     continue
-                exact = np.einsum("ij,ij->i", q[at + r].astype(np.float64), base[c].astype(np.float64))
-                order = np.lexsort((-exact, r))
-                r, c, exact = r[order], c[order], exact[order]
-                rank = np.arange(len(r)) - np.searchsorted(r, r)
-                keep = rank < k + 1
-                r, c, exact = r[keep], c[keep], exact[keep]
                 yield pa.RecordBatch.from_arrays([pa.array([qi[at + i] for i in r], pa.binary()), pa.array([ids[j] for j in c], pa.binary()), pa.array(exact)], ["h", "nh", "cosine"])
 
         def close() -> Iterator[pa.RecordBatch]:
