@@ -20,7 +20,7 @@ SAMPLE = 8192
 CENTROIDS = 64
 #: Cells are stored in blocks: a sixteenth of all vectors each, within these bounds.
 BLOCK_SHARE, BLOCK_LEAST, BLOCK_MOST = 16, 2048, 65_536
-#: Nearest cells are probed until they hold so many blocks of entries; fewer will do where only close neighbours are wanted.
+#: Nearest cells are probed until they hold so many sixteenths of all entries; fewer will do where only close neighbours are wanted.
 REACH, CLOSE_REACH = 2.0, 0.5
 #: Queries multiplied with a block at once.
 CHUNK = 512
@@ -191,6 +191,12 @@ class MultiIndex:
         return out
 
 
+def budget(n: int, reach: float) -> tuple[int, int]:
+    """(entries of a block at most, entries to probe) for n vectors. Blocks are bounded; the probed share of n never falls, more blocks are probed."""
+    share = max(BLOCK_LEAST, -(-n // BLOCK_SHARE))
+    return min(BLOCK_MOST, share), max(1000, int(share * reach))
+
+
 def _distinct(rows: DataFrame, dim: int, vector: str, key: str) -> DataFrame:
     """(h, vec): each distinct unit vector once."""
     units = unit_vectors(rows, dim, vector, key)
@@ -215,9 +221,9 @@ def nearest_distinct(rows: DataFrame, k: int, dim: int, vector: str, key: str, m
     counts = dict(coded.distinct().groupBy("cell").count().collect())  # at most centroids^2 rows
     if not counts:
         return spark.createDataFrame([], "h binary, nh binary, cosine double")
-    most = min(BLOCK_MOST, max(BLOCK_LEAST, -(-sum(counts.values()) // BLOCK_SHARE)))
+    most, wanted = budget(sum(counts.values()), reach)
     index.store({int(c): int(m) for c, m in counts.items()}, most)
-    stored, wanted = spark.sparkContext.broadcast(index), max(1000, int(most * reach))
+    stored = spark.sparkContext.broadcast(index)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Each vector to the slice of its block (kind 0, it is entry and query there), and as a query to the other slices it probes (kind 1)."""
@@ -287,7 +293,7 @@ def nearest(rows: DataFrame, k: int = 10, dim: int = 384, vector: str = "embeddi
     count once; an id with several vectors counts with each of them and the best cosine. Equal vectors are searched once
     and share the result; of a group of equals each gets the first k others by id, so a group is never squared.
     Approximate: the codebooks come from a bounded sample, every vector is indexed, and the blocks that hold the cells
-    nearest to a vector, up to `reach` blocks of entries, are searched whole.
+    nearest to a vector, up to `reach` sixteenths of all entries, are searched whole.
     """
     units = unit_vectors(rows, dim, vector, key).select("id", F.unhex(F.md5("vec")).alias("h")).distinct()
     by_id = Window.partitionBy("h").orderBy("id")

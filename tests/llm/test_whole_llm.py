@@ -22,3 +22,10 @@ def test_near_copies_take_bounded_memory():
     r, c, cosine = neighbours.best(x[:1].repeat(5, 0), x[:1].repeat(40_000, 0), 11, 0.9)  # ties at the bar
     assert np.bincount(r).tolist() == [11] * 5 and np.allclose(cosine, 1)
     assert not len(neighbours.best(x[:3], -x, 11, 0.9)[0])
+
+
+def test_probed_share_does_not_fall_with_the_number_of_vectors():
+    for n in (40_000, 1_000_000, 4_200_000, 50_000_000):
+        for reach in (neighbours.REACH, neighbours.CLOSE_REACH):
+            most, wanted = neighbours.budget(n, reach)
+            assert most <= neighbours.BLOCK_MOST and wanted >= int(n * reach / 16)
