@@ -94,14 +94,19 @@ def nearest_in_blocks(rows: DataFrame, queries: DataFrame, k: int, group: str, r
     """(query_id, id, group, cosine, rank): exact k nearest rows of each query in its group, both (id, group, vec).
 
     Rows and queries are packed into blocks; each block of rows meets each block of queries of its group, as one
-    product of matrices. A query never finds itself. Equal cosines go to the smaller id.
+    product of matrices. Each query block goes once to every row block of its group, so products of a large group spread
+    over tasks. A query never finds itself. Equal cosines go to the smaller id.
     """
 
-    def packed(df: DataFrame, size: int, prefix: str) -> DataFrame:
-        number = F.pmod(F.xxhash64("id"), F.greatest(F.ceil(F.count("*").over(Window.partitionBy(group)) / size), F.lit(1)))
-        return df.withColumn("b", number).groupBy(group, "b").agg(F.collect_list(F.struct("id", "vec")).alias(f"{prefix}s")).select(group, f"{prefix}s")
+    def packed(df: DataFrame, size: int, prefix: str) -> tuple[DataFrame, DataFrame]:
+        blocks = df.groupBy(group).agg(F.greatest(F.ceil(F.count("*") / size), F.lit(1)).alias("blocks"))
+        numbered = df.join(F.broadcast(blocks), group).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")))
+        return numbered.groupBy(group, "b").agg(F.collect_list(F.struct("id", "vec")).alias(f"{prefix}s")), blocks
 
-    pairs = packed(rows, rows_per_block, "row").join(packed(queries, queries_per_block, "query"), group)
+    stored, blocks = packed(rows, rows_per_block, "row")
+    asked, _ = packed(queries, queries_per_block, "query")
+    copies = asked.drop("b").join(F.broadcast(blocks), group).withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).drop("blocks")
+    pairs = stored.join(copies, [group, "b"])
 
     def product(frames):
         for f in frames:

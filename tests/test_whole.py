@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from quarry.operators import graph, memory
+from quarry.operators import graph, memory, retrieval
 from quarry.plans import catalog, files
 
 ALIASES = [("user", "user"), ("human", "user"), (" Asker", "user"), ("bot", "assistant"), ("function", "tool")]
@@ -31,3 +31,15 @@ def test_graph_has_the_links_of_every_row(spark):
         want |= {(min(i, j), max(i, j)) for _, j in sorted((-round(cos(v, w), 6), j) for j, w, h in rows if h == g and j != i)[:3]}
     assert {(r.a, r.b) for r in catalog.knn_links(df).collect()} == want
     assert {r.node: r.degree for r in graph.degrees(catalog.knn_links(df)).collect()} == {i: sum(i in e for e in want) for i, _, _ in rows}
+
+
+def test_products_of_a_large_group_spread(spark):
+    rows = [(i, [float((i * 7) % 11) - 5, float((i * 3) % 5) - 2.5, 1.0], 1) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, vec array<double>, g int")
+    near = retrieval.nearest_in_blocks(df, df, 3, "g", rows_per_block=4, queries_per_block=40)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("\nWindow ") + plan.count("- Window ") <= 1  # of ranks; none over all rows of a group
+    assert "((g#" in plan.split("MapInPandas")[1] and " AND (b#" in plan.split("MapInPandas")[1].split("\n", 3)[2]
+    got = {(r.query_id, r["rank"]): r.id for r in near.collect()}
+    whole = retrieval.nearest_in_blocks(df, df, 3, "g").collect()
+    assert got == {(r.query_id, r["rank"]): r.id for r in whole} and len(got) == 120
