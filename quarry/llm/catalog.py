@@ -20,7 +20,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": _over(splitting.found, "kb_document", "kb_project"),
         "p1_pieces": _over(splitting.pieces, "kb_document", "kb_project"),
-        "p2_found": _over(pairs.found, "intent_resolution", "intent"),
+        "p2_found": _over(pairs.found, "intent_resolution", "intent", "documents"),
         "p3_found": conversations.found,
         "p3_conversations": conversations.conversations,
         "p4_found": _over(syntax.found, "kb_document"),

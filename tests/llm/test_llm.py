@@ -48,9 +48,13 @@ PAIRS = [
 def test_pair_defects(spark):
     filler = [(100 + i, "what is it?", f"The page is open and the page is back. It is all there, and the end of the page is near {i}.") for i in range(30)]
     df = spark.createDataFrame([(i, q, a) for i, (q, a, _) in enumerate(PAIRS)] + filler, "resolution_id long, question string, answer string")
-    got = {r.resolution_id: r.defect for r in pairs.defects(df).collect()}
+    said = [("en", "how do i reset it and the page is open, the page is back, it is all there"), ("DE", "das ist nicht schwer, es geht mit der Taste und dem Schalter auf Deutsch"), ("french", "c'est la page et le reste")]
+    texts = spark.createDataFrame([(i, said[i % 3][1], said[i % 3][0]) for i in range(60)] + [(90, None, "en"), (91, "x", None)], "id long, text string, lang string")
+    got = {r.resolution_id: r.defect for r in pairs.defects(df, texts).collect()}
     assert got == {i: d for i, (_, _, d) in enumerate(PAIRS) if d}
-    assert pairs.defects(df.limit(0)).count() == 0
+    assert pairs.defects(df.limit(0), texts).count() == 0
+    unlabelled = {r.resolution_id: r.defect for r in pairs.defects(df, texts.limit(0)).collect()}
+    assert unlabelled == {i: d for i, d in got.items() if d != "other_language"}
 
 
 def test_common_subsequence():
