@@ -10,8 +10,8 @@ from quarry.llm.pairs import once
 from quarry.llm.splitting import current_documents
 
 OPEN, CLOSE = "([{", ")]}"
-#: Tokens are about so many times the bytes of the texts they come from; files are spread over so many more tasks.
-SPREAD = 4
+#: Tokens are about so many times the bytes of the texts they come from; files are spread over so many times the tasks of a shuffle.
+SPREAD = 2
 #: Bits of a cell: its character with the mark of a beginning group, its order among the cells of a token, its token's position.
 CHAR, ORDER, PLACE = 8, 2, 30
 
