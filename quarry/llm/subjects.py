@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,8 +13,12 @@ from pyspark.sql import functions as F
 
 from quarry.session import written
 
-#: Labelled documents used at most; those of the smallest hashes are taken. A fifth of them only sets the threshold.
-LABELS = 20_000
+#: Labelled documents used at most; those of the smallest hashes are taken. Of ten parts one is left for reports (accuracy)
+#: and two set the thresholds; the rest is fitted.
+LABELS, PARTS = 20_000, 10
+REPORT, THRESHOLD = (1,), (0, 5)
+#: A subject of so many labels in the threshold part has a threshold of its own; others take that of all.
+OWN = 40
 #: N-grams are counted in so many cells, so a model has a fixed size whatever the vocabulary.
 CELLS = 1 << 18
 #: Rounds of re-estimation over all documents.
@@ -26,35 +31,38 @@ MIX, BACK = (0.4, 0.4, 0.2), (0.5, 0.45, 0.05)
 TRIED = np.arange(-1.0, 5.01, 0.5)
 
 
-def sentences(text: Column) -> Column:
-    """Array of the sentences' words in lower case, without code blocks, headings, mark-up, list marks, speakers and paths."""
+def sentence_words(text: Column) -> Column:
+    """The words in lower case, flat, a line feed between sentences; without code blocks, headings, mark-up, list marks, speakers and paths."""
     t = F.regexp_replace(text, "(?s)```.*?(?:```|\\z)|<(h[1-6]|pre|code)\\b[^>]*>.*?</\\1>", "\n")
-    t = F.regexp_replace(t, "(?m)^[\\x{FEFF} \\t]*#{1,6}[ \\t].*$|^[ \\t]*(?:=+|-{3,})[ \\t]*$|</?[a-zA-Z][^>\\n]{0,80}>", "\n")
+    t = F.regexp_replace(t, "(?m)^[\\x{FEFF} \\t]*#{1,6}[ \\t].*$|^[ \\t]*(?:=+|-{3,})[ \\t]*$|</?[a-zA-Z][^>\\n]*+>", "\n")
     t = F.regexp_replace(t, "(?m)^[\\x{FEFF} \\t]*(?:[-*+>]|\\d+[.)]|\\|[ \\t]*\\d+[ \\t]*\\||\\[\\d\\d?:\\d\\d\\][ \\t]*[^\\s:]{1,40}:)[ \\t]+|[ \\t]*\\|[ \\t]*$", "")
-    parts = F.split(t, "(?<=[.!?…])[\"”»)\\]]*\\s+|[\\r\\n]+")
-    words = lambda s: F.regexp_extract_all(F.lower(F.regexp_replace(s, "\\S*[/_\\d]\\S*", " ")), F.lit("[\\p{L}\\p{M}]+"), F.lit(0))
-    return F.filter(F.transform(parts, words), lambda w: F.size(w) > 0)
+    t = F.regexp_replace(t, "(?<=[.!?…])[\"”»)\\]]*\\s+", "\n")
+    return F.regexp_extract_all(F.lower(F.regexp_replace(t, "\\S*[/_\\d]\\S*", " ")), F.lit("[\\r\\n]+|[\\p{L}\\p{M}]+"), F.lit(0))
 
 
 def _cells(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, labels, held, lens, u, b): cells of words and word pairs of each document, sentence after sentence."""
-    cell = lambda *w: F.pmod(F.xxhash64(*w), F.lit(CELLS)).cast("int")
-    each = documents.select("doc_id", F.explode(F.array(sentences(F.coalesce("text", F.lit(""))))).alias("s"))
-    u = F.flatten(F.transform("s", lambda ws: F.transform(ws, lambda w: cell(w))))
-    b = F.flatten(F.transform("s", lambda ws: F.transform(ws, lambda w, i: cell(F.when(i > 0, F.get(ws, i - 1)).otherwise("^"), w))))
+    """(doc_id, labels, part, u): the cells of each document's words, -1 between sentences. Cells of pairs follow from these."""
+    each = documents.select("doc_id", F.explode(F.array(sentence_words(F.coalesce("text", F.lit(""))))).alias("s"))
+    u = F.transform("s", lambda w: F.when(w.startswith("\n") | w.startswith("\r"), -1).otherwise(F.pmod(F.xxhash64(w), F.lit(CELLS)).cast("int")))
     order = F.xxhash64(F.lit(11), "doc_id")
     known = labels.where("doc_id is not null").groupBy("doc_id").agg(F.collect_set(F.coalesce(F.lower(F.trim("subject")), F.lit(""))).alias("labels"))
-    known = known.orderBy(order, "doc_id").limit(LABELS).withColumn("held", F.pmod(order, F.lit(5)) == 0)
-    return each.select("doc_id", F.transform("s", F.size).alias("lens"), u.alias("u"), b.alias("b")).join(F.broadcast(known), "doc_id", "left")
+    known = known.orderBy(order, "doc_id").limit(LABELS).withColumn("part", F.pmod(order, F.lit(PARTS)).cast("int"))
+    return each.select("doc_id", u.alias("u")).join(F.broadcast(known), "doc_id", "left")
 
 
 class Models:
-    """Counts of words and pairs: a column per subject, one for no subject, the last for all text."""
+    """Counts of words and pairs: a column per subject, one for no subject, the last for all text; and of sentences."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray):
-        self.words, self.pairs = words.astype(np.float32), pairs.astype(np.float32)
+    def __init__(self, words: np.ndarray, pairs: np.ndarray, sentences: np.ndarray):
+        self.words, self.pairs, self.starts = (x.astype(np.float32) for x in (words, pairs, sentences))
         self.total = np.maximum(self.words.sum(0, dtype=np.float64), 1).astype(np.float32)
 
+    def __reduce__(self) -> tuple:
+        """Most counts are 0, so a model travels as a small part of its size."""
+        out = io.BytesIO()
+        np.savez_compressed(out, a=self.words, b=self.pairs, c=self.starts)
+        return _model, (out.getvalue(),)
+
     def gains(self, u: np.ndarray, b: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Per sentence and model, by how many nats the model's cross-entropy is below the background's, summed over the words."""
         first = np.zeros(len(u), dtype=bool)
@@ -62,7 +70,7 @@ class Models:
         first[starts] = True
         w, p = self.words[u], self.pairs[b]
         before = np.where(first[:, None], 0, self.words[np.concatenate([u[:1], u[:-1]])])
-        before[first] = self.words_starts
+        before[first] = self.starts
         p /= np.maximum(before, 1)
         np.minimum(p, 1, out=p)
         w /= self.total
@@ -70,10 +78,10 @@ class Models:
         own = MIX[0] * p[:, :-1] + MIX[1] * w[:, :-1] + MIX[2] * back
         return np.add.reduceat(np.log(own / back), starts, axis=0)
 
-    @property
-    def words_starts(self) -> np.ndarray:
-        """Sentences per model are not counted apart; a tenth of the words comes near."""
-        return self.total / 10
+
+def _model(data: bytes) -> Models:
+    x = np.load(io.BytesIO(data))
+    return Models(x["a"], x["b"], x["c"])
 
 
 def _posteriors(gains: np.ndarray, doc: np.ndarray, docs: int, allowed: np.ndarray) -> np.ndarray:
@@ -91,12 +99,20 @@ def _posteriors(gains: np.ndarray, doc: np.ndarray, docs: int, allowed: np.ndarr
 
 
 def _batch(b: pa.RecordBatch, subjects: list[str]) -> tuple:
-    """Arrays of a batch: words, pairs, sentence lengths, document of each sentence, allowed classes, whether held out, labelled."""
-    lens_list = b.column("lens")
-    counts = np.asarray(lens_list.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    lens = lens_list.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-    u, p = (b.column(c).flatten().to_numpy(zero_copy_only=False) for c in ("u", "b"))
-    doc = np.repeat(np.arange(b.num_rows), counts)
+    """Arrays of a batch: words, pairs, sentence lengths, document of each sentence, allowed classes, part of the labels, labels."""
+    lists = b.column("u")
+    counts = np.asarray(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    of = np.repeat(np.arange(b.num_rows), counts)
+    fresh = flat < 0
+    fresh[(np.cumsum(counts) - counts)[counts > 0]] = True
+    kept = flat >= 0
+    u, sentence, of = flat[kept], np.cumsum(fresh)[kept], of[kept]
+    starts = np.flatnonzero(np.diff(sentence, prepend=-1))
+    lens, doc = np.diff(np.append(starts, len(u))), of[starts]
+    before = np.concatenate([u[:1], u[:-1]])
+    before[starts] = CELLS  # a sentence's first word
+    p = ((before * 2654435761 + u * 40503 + 1) % (1 << 32) * 1597334677 % (1 << 32)) % CELLS
     at = {s: i for i, s in enumerate(subjects)}
     allowed = np.ones((b.num_rows, len(subjects) + 1), dtype=np.float32)
     labels = b.column("labels").to_pylist()
@@ -105,20 +121,24 @@ def _batch(b: pa.RecordBatch, subjects: list[str]) -> tuple:
             allowed[i] = 0.02  # single sentences of other areas, and mistaken labels
             allowed[i, [at[x] for x in ls if x in at]] = 1
             allowed[i, -1] = 1
-    return u, p, lens, doc, allowed, np.array([bool(h) for h in b.column("held").to_pylist()]), labels
+    return u, p, lens, doc, allowed, np.asarray(b.column("part").fill_null(-1).to_numpy(zero_copy_only=False)), labels
 
 
 def _counted(cells: DataFrame, subjects: list[str], model=None) -> Models:
     """Counts over all documents. Without a model: labelled documents count for their labels. With one: every sentence
-    counts for the classes in proportion to its posteriors. Sums are made in each task first, then per cell."""
+    counts for the classes in proportion to its posteriors. Sums are made in each task first, then per cell; tasks are as
+    many as cores, so what they send does not grow with the documents."""
     width = len(subjects) + 2
+    away = list(REPORT + THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((2, CELLS, width), dtype=np.float32)
+        said = np.zeros((1, width), dtype=np.float32)
         for b in batches:
-            u, p, lens, doc, allowed, held, labels = _batch(b, subjects)
+            u, p, lens, doc, allowed, part, labels = _batch(b, subjects)
             if not len(lens):
                 continue
+            held = np.isin(part, away)
             if model is None:
                 weight = np.zeros((len(lens), width), dtype=np.float32)
                 own = np.zeros((b.num_rows, width - 1), dtype=np.float32)
@@ -132,38 +152,40 @@ def _counted(cells: DataFrame, subjects: list[str], model=None) -> Models:
                 post = _posteriors(model.value.gains(u, p, lens), doc, b.num_rows, allowed)
                 weight = np.concatenate([np.where(post > 0.5, post, 0), np.zeros((len(post), 1))], axis=1).astype(np.float32)
             weight[:, -1] = 1
+            said += weight.sum(0)
             token = np.repeat(np.arange(len(lens)), lens)
             for c in range(width):
                 w = weight[token, c]
                 used = np.flatnonzero(w)
-                for k, cell in enumerate((u, p)):
-                    sums[k, :, c] += np.bincount(cell[used], weights=w[used], minlength=CELLS).astype(np.float32)
-        for k in (0, 1):
-            full = np.flatnonzero(sums[k, :, -1])
+                if len(used):
+                    for k, cell in enumerate((u, p)):
+                        sums[k, :, c] += np.bincount(cell[used], weights=w[used], minlength=CELLS).astype(np.float32)
+        for k, table in enumerate((sums[0], sums[1], said)):
+            full = np.flatnonzero(table[:, -1])
             if len(full):
-                columns = [pa.array(np.full(len(full), k, np.int32)), pa.array(full.astype(np.int32)), *[pa.array(sums[k, full, c].astype(np.float64)) for c in range(width)]]
+                columns = [pa.array(np.full(len(full), k, np.int32)), pa.array(full.astype(np.int32)), *[pa.array(table[full, c]) for c in range(width)]]
                 yield pa.RecordBatch.from_arrays(columns, ["k", "cell", *[f"c{c}" for c in range(width)]])
 
-    schema = "k int, cell int, " + ", ".join(f"c{c} double" for c in range(width))
-    part = cells.mapInArrow(run, schema)
-    rows = part.groupBy("k", "cell").agg(*[F.sum(f"c{c}").cast("float").alias(f"c{c}") for c in range(width)]).toPandas()  # at most 2 x CELLS rows
-    full = np.zeros((2, CELLS, width), dtype=np.float32)
+    schema = "k int, cell int, " + ", ".join(f"c{c} float" for c in range(width))
+    part = cells.coalesce(cells.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
+    rows = part.groupBy("k", "cell").agg(*[F.sum(f"c{c}").cast("float").alias(f"c{c}") for c in range(width)]).toPandas()  # at most 2 x CELLS + 1 rows
+    full = np.zeros((3, CELLS, width), dtype=np.float32)
     full[rows["k"].to_numpy(dtype=int), rows["cell"].to_numpy(dtype=int)] = rows[[f"c{c}" for c in range(width)]].to_numpy()
-    return Models(full[0], full[1])
+    return Models(full[0], full[1], full[2, 0])
 
 
-def _shares(gains: np.ndarray, doc: np.ndarray, docs: int, lead: float) -> np.ndarray:
-    """Per document the share of its sentences in each subject, where a subject must be `lead` ahead of none."""
+def _shares(gains: np.ndarray, doc: np.ndarray, docs: int, leads: np.ndarray) -> np.ndarray:
+    """Per document the share of its sentences in each subject, where a subject must be ahead of none by its lead."""
     ahead = gains.copy()
-    ahead[:, -1] += lead
+    ahead[:, :-1] -= leads
     best = _posteriors(ahead, doc, docs, np.ones((docs, gains.shape[1]), dtype=np.float32)).argmax(1)
     counts = np.zeros((docs, gains.shape[1]))
     np.add.at(counts, (doc, best), 1)
     return counts / np.maximum(np.bincount(doc, minlength=docs), 1)[:, None]
 
 
-def _threshold(cells: DataFrame, subjects: list[str], model) -> float:
-    """The lead with the best F1 of accepted subjects against the labels held out."""
+def _hits(cells: DataFrame, subjects: list[str], model, parts: tuple, leads: list[np.ndarray]) -> pd.DataFrame:
+    """(i, subject, hit, miss, labelled): rights and wrongs of each subject under each of the leads, against the labels of some parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -173,18 +195,55 @@ def _threshold(cells: DataFrame, subjects: list[str], model) -> float:
             gains = model.value.gains(u, p, lens)
             truth = np.array([[x in (ls or []) for x in subjects] for ls in labels])
             rows = []
-            for lead in TRIED:
+            for i, lead in enumerate(leads):
                 said = _shares(gains, doc, b.num_rows, lead)[:, :-1] >= SHARE
-                rows.append((float(lead), int((said & truth).sum()), int((said ^ truth).sum())))
-            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["lead", "hit", "miss"]), preserve_index=False)
+                rows += zip([i] * len(subjects), range(len(subjects)), (said & truth).sum(0).tolist(), (said ^ truth).sum(0).tolist(), truth.sum(0).tolist(), strict=True)
+            yield pa.RecordBatch.from_pandas(pd.DataFrame(rows, columns=["i", "subject", "hit", "miss", "labelled"]), preserve_index=False)
+
+    sums = [F.sum(c).alias(c) for c in ("hit", "miss", "labelled")]
+    return cells.where(F.col("part").isin(*parts)).mapInArrow(run, "i long, subject long, hit long, miss long, labelled long").groupBy("i", "subject").agg(*sums).toPandas()
+
+
+def _thresholds(cells: DataFrame, subjects: list[str], model) -> np.ndarray:
+    """How far each subject must be ahead: the lead of the best F1 of accepted subjects against the labels of the threshold
+    part, over all subjects, or over the subject alone where it has enough labels."""
+    scores = _hits(cells, subjects, model, THRESHOLD, [np.full(len(subjects), x) for x in TRIED])
+
+    def best(rows: pd.DataFrame) -> float:
+        per = rows.groupby("i")[["hit", "miss"]].sum()
+        f1 = 2 * per["hit"] / (2 * per["hit"] + per["miss"]).clip(lower=1)
+        good = sorted(per.index[f1 >= f1.max() - 1e-9])
+        return float(TRIED[good[len(good) // 2]])
 
-    held = cells.where("held")
-    scores = held.mapInArrow(run, "lead double, hit long, miss long").groupBy("lead").agg(F.sum("hit").alias("hit"), F.sum("miss").alias("miss")).toPandas()
     if scores.empty:
-        return 1.0
-    f1 = 2 * scores["hit"] / (2 * scores["hit"] + scores["miss"]).clip(lower=1)
-    good = scores["lead"][f1 >= f1.max() - 1e-9].sort_values().to_list()
-    return float(good[len(good) // 2])
+        return np.full(len(subjects), 1.0)
+    every = best(scores)
+    own = {s: g for s, g in scores.groupby("subject") if g["labelled"].max() >= OWN}
+    return np.array([best(own[s]) if s in own else every for s in range(len(subjects))])
+
+
+def _fitted(cells: DataFrame, names: list[str]) -> tuple:
+    """(broadcast model, leads)."""
+    context = cells.sparkSession.sparkContext
+    model = context.broadcast(_counted(cells, names))
+    for _ in range(ROUNDS):
+        past, model = model, context.broadcast(_counted(cells, names, model))
+        past.destroy()
+    return model, _thresholds(cells, names, model)
+
+
+def _names(areas: DataFrame) -> list[str]:
+    return sorted({r[0].strip().lower() for r in areas.select("subject").where("subject is not null").collect()})  # the areas' list
+
+
+def accuracy(documents: DataFrame, areas: DataFrame, labels: DataFrame) -> tuple[float, float, int]:
+    """(precision, recall, labels) of accepted subjects against the labels that neither models nor thresholds have seen."""
+    names, cells = _names(areas), written(_cells(documents, labels), "cells")
+    model, leads = _fitted(cells, names)
+    rows = _hits(cells, names, model, REPORT, [leads])
+    hit, labelled, miss = (int(rows[c].sum()) for c in ("hit", "labelled", "miss"))
+    said = miss - (labelled - hit) + hit
+    return hit / max(1, said), hit / max(1, labelled), labelled
 
 
 def subjects_of(documents: DataFrame, areas: DataFrame, labels: DataFrame) -> DataFrame:
@@ -192,26 +251,23 @@ def subjects_of(documents: DataFrame, areas: DataFrame, labels: DataFrame) -> Da
 
     A model per area, one for sentences of no area, and a background over all documents, all interpolated pairs and
     words; first from the labels, then re-estimated over all documents. A sentence goes to the class of the highest
-    posterior under its document's proportions; how far an area must be ahead is set on labels held out. Code blocks and
+    posterior under its document's proportions; how far each area must be ahead is set on labels held out. Code blocks and
     headings do not count. Null or blank texts give no rows; repeated rows give repeated rows. Labels of unknown areas,
     and null ones, say that there is no area. Without labels nothing is known and no rows come out.
     """
     spark: SparkSession = documents.sparkSession
-    names = sorted({r[0].strip().lower() for r in areas.select("subject").where("subject is not null").collect()})  # the areas' list
+    names = _names(areas)
     if not names:
         return spark.createDataFrame([], "doc_id long, subject string, share double, sentences int")
     cells = written(_cells(documents, labels), "cells")
-    model = spark.sparkContext.broadcast(_counted(cells, names))
-    for _ in range(ROUNDS):
-        model = spark.sparkContext.broadcast(_counted(cells, names, model))
-    lead = _threshold(cells, names, model)
+    model, leads = _fitted(cells, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             u, p, lens, doc, _, _, _ = _batch(b, names)
             if not len(lens):
                 continue
-            share = _shares(model.value.gains(u, p, lens), doc, b.num_rows, lead)[:, :-1]
+            share = _shares(model.value.gains(u, p, lens), doc, b.num_rows, leads)[:, :-1]
             i, c = np.nonzero(share)
             n = np.bincount(doc, minlength=b.num_rows)
             yield pa.RecordBatch.from_arrays(
