@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.llm.packing import token_count
+from quarry.session import written
 
 #: Tokens of a block, the unit that is apportioned, and of a shard, the unit in which documents are ordered.
-BLOCK_TOKENS, SHARD_TOKENS = 64, 4_000_000
+BLOCK_TOKENS, SHARD_TOKENS = 8, 4_000_000
 SEED = 17
 
 
@@ -56,16 +57,18 @@ def mix(items: DataFrame, targets: DataFrame, item: str = "doc_id", size: str =
     max_repeat). report, a row per target row: needed, supply (both in size), quota (blocks), short (supply < needed).
 
     The blocks of a mix are apportioned among its sources and each source's blocks among its shards, both after
-    Sainte-Lague; a shard gives whole rounds of its blocks and, for the rest, those that follow a seeded one. A source
-    that is short gives all it may. Items of null or unlisted source count in the total only; items of size null or 0
-    are never chosen. Null weights, shares or repeats count as 0. Repeated item rows are items of their own.
+    Sainte-Lague; a shard gives whole rounds of its blocks and, for the rest, the items that lie in the blocks that
+    follow a seeded one. What is then left of the quota is settled by one more item of the shard, that of the nearest size.
+    A source that is short gives all it may. Items of null or unlisted source count in the total only; items of size null
+    or 0 are never chosen. Null weights, shares or repeats count as 0. Repeated item rows are items of their own. items are
+    written once and read from there.
     """
     fold = lambda c: F.lower(F.trim(c))
     wanted = targets.select(
         "mix_id", "source", fold("source").alias("key"), *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("weight", "max_repeat", "total_share")]
     ).toPandas()  # the mixes' definition, not data
     listed = sorted({k for k in wanted["key"] if k})
-    kept = items.select(F.col(item), fold("source").alias("key"), F.coalesce(F.col(size), F.lit(0)).alias("__n"))
+    kept = written(items.select(F.col(item), fold("source").alias("key"), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("__n")), "sizes")
     sums = {r[0]: r[1] for r in kept.groupBy(F.when(F.col("key").isin(listed), F.col("key")).alias("k")).agg(F.sum("__n")).collect()}
     total = sum(sums.values())
     shards = max(1, math.ceil(total / SHARD_TOKENS))
@@ -82,26 +85,35 @@ def mix(items: DataFrame, targets: DataFrame, item: str = "doc_id", size: str =
     rows = kept.where(F.col("key").isin(listed) & (F.col("__n") > 0)).withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), item), F.lit(shards)))
     sized = rows.groupBy("key", "shard").agg(F.sum("__n").alias("tokens"))
     spark = items.sparkSession
-    plan = [r for r in wanted[["mix_id", "source", "key", "quota", "max_repeat"]].itertuples(index=False) if r.key]
-    quotas = spark.createDataFrame([(r.mix_id, r.source, r.key, int(r.quota), int(r.max_repeat)) for r in plan], "mix_id string, source string, key string, quota long, max_repeat long")
+    plan = [r for r in wanted[["mix_id", "source", "key", "quota", "max_repeat", "short"]].itertuples(index=False) if r.key]
+    quotas = spark.createDataFrame([(r.mix_id, r.source, r.key, int(r.quota), int(r.max_repeat), bool(r.short)) for r in plan], "mix_id string, source string, key string, quota long, max_repeat long, short boolean")
 
     def spread(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("shard")
-        blocks = np.maximum(1, np.rint(g["tokens"].to_numpy() / BLOCK_TOKENS)).astype(np.int64)
-        quota, repeat = int(g["quota"].iloc[0]), int(g["max_repeat"].iloc[0])
-        seats = sainte_lague(g["tokens"].to_numpy(), quota, blocks * repeat)
-        return g.assign(blocks=blocks, seats=seats)[["mix_id", "source", "key", "shard", "tokens", "blocks", "seats"]]
+        tokens, repeat = g["tokens"].to_numpy(), int(g["max_repeat"].iloc[0])
+        caps = -(-tokens // BLOCK_TOKENS) * repeat
+        seats = sainte_lague(tokens, int(g["quota"].iloc[0]), caps)
+        wanted = np.minimum(seats * BLOCK_TOKENS, tokens * repeat)
+        if g["short"].iloc[0]:
+            wanted = tokens * repeat
+        rounds = np.minimum(wanted // tokens, repeat)
+        return g.assign(rounds=rounds, rest=np.where(rounds < repeat, wanted - rounds * tokens, 0))[["mix_id", "source", "key", "shard", "tokens", "rounds", "rest"]]
 
     per_shard = (
-        sized.join(F.broadcast(quotas), "key").groupBy("mix_id", "source").applyInPandas(spread, "mix_id string, source string, key string, shard long, tokens long, blocks long, seats long")
+        sized.join(F.broadcast(quotas), "key").groupBy("mix_id", "source").applyInPandas(spread, "mix_id string, source string, key string, shard long, tokens long, rounds long, rest long")
     )
     order = Window.partitionBy("key", "shard").orderBy(F.xxhash64(F.lit(seed + 1), item), item)
-    middle = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n") / 2
-    placed = rows.withColumn("__mid", middle).join(per_shard.where("seats > 0"), ["key", "shard"])
-    block = F.least(F.floor(F.col("__mid") * F.col("blocks") / F.col("tokens")), F.col("blocks") - 1)
-    turn = F.pmod(block + F.pmod(F.xxhash64(F.lit(seed + 2), "mix_id", "key", "shard"), F.col("blocks")), F.col("blocks"))
-    repeats = F.floor(F.col("seats") / F.col("blocks")) + (turn < F.pmod(F.col("seats"), F.col("blocks"))).cast("long")
-    chosen = placed.select("mix_id", "source", item, F.col("__n").alias(size), repeats.cast("int").alias("repeats")).where("repeats > 0")
+    before = F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
+    placed = rows.withColumn("__at", before).join(per_shard.where("rounds > 0 or rest > 0"), ["key", "shard"])
+    first = F.pmod(F.xxhash64(F.lit(seed + 2), "mix_id", "key", "shard"), F.col("tokens"))
+    inside = (F.pmod(F.col("__at") - first, F.col("tokens")) + F.col("__n")) <= F.col("rest")
+    shard = Window.partitionBy("mix_id", "source", "shard")
+    gap = F.col("rest") - F.coalesce(F.sum(F.when(F.col("__in"), F.col("__n"))).over(shard), F.lit(0))
+    fit = F.when(~F.col("__in") & (F.col("__n") < 2 * F.col("__gap")), F.abs(F.col("__n") - F.col("__gap")))
+    best = F.row_number().over(shard.orderBy(F.asc_nulls_last("__fit"), F.xxhash64(F.lit(seed + 3), item), item))
+    settled = placed.withColumn("__in", inside).withColumn("__gap", gap).withColumn("__fit", fit).withColumn("__best", (best == 1) & F.col("__fit").isNotNull())
+    repeats = F.col("rounds") + (F.col("__in") | F.col("__best")).cast("long")
+    chosen = settled.select("mix_id", "source", item, F.col("__n").alias(size), repeats.cast("int").alias("repeats")).where("repeats > 0")
     facts = spark.createDataFrame(
         [(r.mix_id, r.source, float(r.needed), float(r.supply), int(r.quota), bool(r.short), float(r.weight)) for r in wanted.itertuples(index=False)],
         "mix_id string, source string, needed double, supply double, quota long, short boolean, weight double",
@@ -114,14 +126,14 @@ def documents_mix(documents: DataFrame, targets: DataFrame) -> tuple[DataFrame,
 
 
 def report(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """The shares reached: (mix_id, source, weight, needed, reached, reached_share, short), a row per row of targets."""
+    """The shares reached: (mix_id, source, weight, needed, supply, reached, reached_share, short), a row per row of targets."""
     chosen, facts = documents_mix(documents, targets)
     reached = chosen.groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * F.col("repeats")).alias("reached"))
     out = facts.join(reached, ["mix_id", "source"], "left").withColumn("reached", F.coalesce("reached", F.lit(0)))
     mine = F.sum("reached").over(Window.partitionBy("mix_id"))
-    return out.select("mix_id", "source", "weight", "needed", "reached", F.when(mine > 0, F.col("reached") / mine).otherwise(0.0).alias("reached_share"), "short")
+    return out.select("mix_id", "source", "weight", "needed", "supply", "reached", F.when(mine > 0, F.col("reached") / mine).otherwise(0.0).alias("reached_share"), "short")
 
 
 def found(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """(mix_id, source): target rows whose source can't supply its share, and whose selection gave all that it may."""
-    return report(documents, targets).where("short and reached < needed").select("mix_id", "source")
+    """(mix_id, source): target rows whose selection gave all that the source may give and still is below what is needed."""
+    return report(documents, targets).where("reached < needed and reached >= supply").select("mix_id", "source")

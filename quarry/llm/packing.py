@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.session import written
+
 #: The size of a text is the number of matches of this; fixed by the data's definition of a token.
 TOKEN = "[A-Za-z0-9]+|[^A-Za-z0-9 \\t\\r\\n]"
 #: Rows of one size class are numbered in so many shards at least, and in one more per SHARD_ROWS rows.
@@ -108,7 +111,8 @@ def pack(sizes: DataFrame, containers: DataFrame, item: str = "doc_id", size: st
         return spark.createDataFrame([], f"container_id string, container_no long, {item} {sizes.schema[item].dataType.simpleString()}, piece int, pieces int, tokens long")
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("id"), F.lit(int(v)).cast("long").alias("cap")) for k, v in caps.items()]))
     n = F.coalesce(F.col(size), F.lit(0)).cast("long")
-    items = sizes.select(item, n.alias("__size"), each.alias("__c"))
+    sizes = written(sizes.select(item, n.alias("__size")), "sizes")  # texts are measured once
+    items = sizes.select(item, "__size", each.alias("__c"))
     pieces = F.greatest(F.ceil(F.col("__size") / F.col("__c.cap")), F.lit(1)).cast("int")
     items = items.withColumn("pieces", pieces).withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     last = F.col("piece") == F.col("pieces") - 1
@@ -124,13 +128,16 @@ def pack(sizes: DataFrame, containers: DataFrame, item: str = "doc_id", size: st
     number = F.row_number().over(Window.partitionBy("container_id", "tokens", "__shard").orderBy(item, "piece"))
     numbered = items.withColumn("__k", number - 1).join(offsets, ["container_id", "tokens", "__shard"]).withColumn("__k", F.col("__k") + F.col("__before"))
 
-    def plan(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        rows = plan_containers(dict(zip(g["tokens"], g["n"])), caps[key[0]])
-        return pd.DataFrame([(key[0], *r) for r in rows], columns=["container_id", "size", "first", "end", "each", "container"])
+    def plan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for (c,), g in pd.concat([pd.DataFrame(columns=["container_id", "tokens", "n"]), *frames]).groupby(["container_id"]):
+            rows = plan_containers(dict(zip(g["tokens"].astype(int), g["n"].astype(int))), caps[c])
+            yield pd.DataFrame([(c, *r) for r in rows], columns=["container_id", "size", "first", "end", "each", "container"])
 
-    totals = classes.groupBy("container_id", "tokens").agg(F.sum("__n").alias("n"))
-    planned = totals.groupBy("container_id").applyInPandas(plan, "container_id string, size long, first long, end long, each long, container long").toPandas()
     ids = {k: i for i, k in enumerate(caps)}
+    number_of = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
+    totals = classes.groupBy("container_id", "tokens").agg(F.sum("__n").alias("n")).withColumn("__id", number_of[F.col("container_id")])
+    spread = totals.repartitionById(len(caps), "__id").select("container_id", "tokens", "n")  # a container's plan to a task
+    planned = spread.mapInPandas(plan, "container_id string, size long, first long, end long, each long, container long").toPandas()
     look: dict[int, tuple] = {}
     for c, g in planned.groupby("container_id"):
         g = g.sort_values(["size", "first"])
@@ -153,7 +160,6 @@ def pack(sizes: DataFrame, containers: DataFrame, item: str = "doc_id", size: st
                 out[g.index] = x % total
         return pd.Series(out)
 
-    number_of = F.create_map(*[F.lit(x) for kv in ids.items() for x in kv])
     return numbered.select("container_id", place(number_of[F.col("container_id")], "tokens", "__k").alias("container_no"), item, "piece", "pieces", "tokens")
 
 
