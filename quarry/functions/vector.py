@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import re
+import zlib
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 DIM = 64
 
@@ -26,7 +32,8 @@ def l2(a: Column, b: Column) -> Column:
 
 
 def normalise(a: Column) -> Column:
-    return F.transform(a, lambda x: F.try_divide(x, norm(a)))
+    """The vector at length 1; its elements are null if it has no length."""
+    return F.element_at(F.transform(F.array(norm(a)), lambda n: F.transform(a, lambda x: F.try_divide(x, n))), 1)
 
 
 def term_slot(term: Column) -> Column:
@@ -36,3 +43,15 @@ def term_slot(term: Column) -> Column:
 
 def term_sign(term: Column) -> Column:
     return F.when(F.substring(F.md5(term), 9, 1) < "8", 1).otherwise(-1)
+
+
+@F.pandas_udf(S.ArrayType(S.DoubleType()))
+def hash_embed(texts: pd.Series) -> pd.Series:
+    """Unit vectors of hashed bags of words: what stands in for a model; a UDF around one takes its place."""
+    out = np.zeros((len(texts), DIM))
+    for i, t in enumerate(texts):
+        for w in re.findall(r"\w+", (t or "").lower()):
+            h = zlib.crc32(w.encode())
+            out[i, h % DIM] += 1 if h >> 16 & 1 else -1
+    norm = np.linalg.norm(out, axis=1)[:, None]
+    return pd.Series(list(out / np.where(norm > 0, norm, 1)))

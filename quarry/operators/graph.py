@@ -8,13 +8,16 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from quarry.functions.text import half_up
+from quarry.functions.vector import dot
 
 DOCUMENT_PULL, SOURCE_PULL = 0.42, 0.16
+#: Nodes of one graph at most.
+NODES_MOST = 1200
 
 
 def positions(rows: DataFrame, radius: float = 6.0) -> DataFrame:
@@ -36,6 +39,55 @@ def positions(rows: DataFrame, radius: float = 6.0) -> DataFrame:
     return centred.join(F.broadcast(top)).select("id", *[half_up(F.col(c) * radius / F.col("top"), 4).alias(c) for c in "xyz"])
 
 
+class Space:
+    """Axes fitted on (id, vec): three principal components with their mean, scale to a radius, and an offset."""
+
+    def __init__(self, rows: DataFrame, radius: float = 6.0, offset: tuple[float, float, float] = (0.0, 0.0, 0.0)):
+        self.offset, self.axes = offset, None
+        if rows.limit(4).count() < 4:
+            return
+        vectors = rows.select(array_to_vector(F.col("vec").cast("array<double>")).alias("v"))
+        loads = np.array(PCA(k=3, inputCol="v", outputCol="p").fit(vectors).pc.toArray()).T
+        self.axes = loads * np.sign(loads[np.arange(3), np.abs(loads).argmax(1)])[:, None]
+        raw = [self._raw(i) for i in range(3)]
+        mean = rows.agg(*[F.avg(c) for c in raw]).first()  # a row
+        self.mean = [float(m) for m in mean]
+        top = rows.agg(F.greatest(*[F.max(F.abs(c - m)) for c, m in zip(raw, self.mean)])).first()[0]
+        self.scale = radius / max(1e-6, top)
+
+    def _raw(self, i: int) -> Column:
+        return dot(F.col("vec"), F.array(*[F.lit(float(x)) for x in self.axes[i]]))
+
+    def place(self, rows: DataFrame) -> DataFrame:
+        """(id, x, y, z) of rows (id, vec), fitted or new; without axes all lie at the offset."""
+        at = lambda i: F.lit(float(self.offset[i])) if self.axes is None else (self._raw(i) - self.mean[i]) * self.scale + self.offset[i]
+        return rows.select("id", *[half_up(at(i), 4).alias(c) for i, c in enumerate("xyz")])
+
+
+def attached(hits: DataFrame, nodes: DataFrame, k: int = 3) -> DataFrame:
+    """(hit, id, weight): links from each hit (id, vec) to the k sampled nodes (id, vec) of the greatest dot product.
+
+    The sample of a graph is bounded by its definition (1,200 nodes), so each hit meets it as one small table.
+    """
+    n = nodes.select(F.col("id").alias("node"), F.col("vec").alias("v"))
+    pairs = hits.join(F.broadcast(n.limit(NODES_MOST)), hits["id"] != F.col("node")).select(F.col("id").alias("hit"), F.col("node").alias("id"), half_up(dot(F.col("vec"), F.col("v")), 4).alias("weight"))
+    rank = F.row_number().over(Window.partitionBy("hit").orderBy(F.desc("weight"), "id"))
+    return pairs.withColumn("__r", rank).where(F.col("__r") <= k).drop("__r")
+
+
+def single_graph(rows: DataFrame, n: int = 400, k: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(nodes (id, document, source, x, y, z), links (a, b, weight)) of a sample of (id, document, source, vec).
+
+    n is put between 50 and 1,200, k between 1 and 6. Positions are those of the sample's axes, pulled toward its documents and sources.
+    """
+    n, k = min(max(n, 50), NODES_MOST), min(max(k, 1), 6)
+    some = rows.where("id is not null and vec is not null").orderBy(F.sha2(F.col("id").cast("string"), 256), "id").limit(n)
+    placed = Space(some).place(some).join(some.select("id", "document", "source"), "id")
+    near = attached(some.select("id", "vec"), some, k)
+    edges = links(near.select(F.col("hit").alias("query_id"), "id", F.col("weight").alias("cosine")))
+    return bundled(placed).join(some.select("id", "document", "source"), "id"), edges
+
+
 def bundled(placed: DataFrame) -> DataFrame:
     """Positions (id, document, source, x, y, z) pulled toward the centroids of their document and source."""
     rest = 1 - DOCUMENT_PULL - SOURCE_PULL

@@ -86,3 +86,110 @@ def recall(intents: DataFrame, queries: DataFrame, topk: int = 5, least: float =
     scored = full.select("query_id", "id", T.half_up(T.jaccard(F.col("q"), F.col("s")), 3).alias("score"), T.jaccard(F.col("q"), F.col("s")).alias("raw"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("raw"), "id"))
     return scored.where(F.col("raw") >= least).withColumn("rank", rank).where(F.col("rank") <= topk).drop("raw")
+
+
+TEXT_KEPT, EXCERPT_KEPT = 500, 600
+# Outcomes that a resolution may have.
+OUTCOMES = ("resolved", "partial", "unresolved", "unknown")
+
+
+def record(stored: DataFrame, turns: DataFrame) -> DataFrame:
+    """The store of intents (id, intent_text, frequency, first_seen, last_seen, first_session, last_session) after the turns (text, session, at).
+
+    A turn's id is that of its terms; turns without terms are left out. A known intent counts the turns on top, takes the
+    newest text, at most 500 characters of it, and the last session; an unknown one begins. Ties of time go to the greatest session, then text.
+    """
+    rows = turns.select(F.array_join(T.intent_terms("text"), " ").alias("n"), F.substring("text", 1, TEXT_KEPT).alias("text"), "session", "at").where("n <> ''")
+    new = rows.groupBy(T.intent_key(F.col("n")).alias("id")).agg(
+        F.count("*").alias("frequency"), F.min("at").alias("first_seen"), F.max("at").alias("last_seen"),
+        F.max(F.struct("at", "session", "text")).alias("last"), F.min(F.struct("at", "session")).alias("first"),
+    ).select("id", F.col("last.text").alias("intent_text"), "frequency", "first_seen", "last_seen", F.col("first.session").alias("first_session"), F.col("last.session").alias("last_session"))
+    both = stored.select("id", "intent_text", "frequency", "first_seen", "last_seen", "first_session", "last_session").unionByName(new)
+    newest = lambda c: F.max_by(c, F.struct("last_seen", "frequency"))
+    return both.groupBy("id").agg(
+        newest("intent_text").alias("intent_text"), F.sum("frequency").cast("long").alias("frequency"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"),
+        F.min_by("first_session", "first_seen").alias("first_session"), newest("last_session").alias("last_session"),
+    )
+
+
+def picked(resolutions: DataFrame) -> DataFrame:
+    """The row of each intent that a grade goes to: one that is not graded before graded ones, then the greatest id."""
+    w = Window.partitionBy("intent_id").orderBy(F.coalesce("graded", F.lit(False)), F.desc("id"))
+    return resolutions.where("intent_id is not null and id is not null").withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
+
+
+def graded(resolutions: DataFrame, grades: DataFrame) -> DataFrame:
+    """Resolutions after grades (intent_id, outcome, score, grader, excerpt), one per intent.
+
+    The row that `picked` gives takes the grade; its excerpt only where it has none, at most 600 characters of it. An
+    unknown outcome becomes `unknown`, a score is put between 0 and 1. An intent without rows gets one, with ids above all others.
+    """
+    said = F.lower(F.trim("outcome"))
+    news = grades.groupBy("intent_id").agg(F.max(F.struct("score", "outcome", "grader", "excerpt")).alias("g")).select("intent_id", "g.*")
+    news = news.select("intent_id", F.when(said.isin(*OUTCOMES), said).otherwise("unknown").alias("o"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("score", F.lit(0.0)))).alias("s"), F.col("grader").alias("g"), F.substring("excerpt", 1, EXCERPT_KEPT).alias("e"))
+    target = picked(resolutions).select("id", "intent_id").join(news, "intent_id").drop("intent_id")
+    joined = resolutions.join(target, "id", "left")
+    hit = F.col("o").isNotNull()
+    bare = F.coalesce("response_excerpt", F.lit("")) == ""
+    old = joined.select(
+        "id", "intent_id", F.when(hit & bare, F.coalesce("e", "response_excerpt")).otherwise(F.col("response_excerpt")).alias("response_excerpt"), F.coalesce("o", "outcome").alias("outcome"),
+        F.when(hit, F.col("s")).otherwise(F.col("score")).alias("score"), F.coalesce("g", "grader").alias("grader"), (hit | F.coalesce("graded", F.lit(False))).alias("graded"),
+    )
+    top = resolutions.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    fresh = news.join(resolutions.select("intent_id"), "intent_id", "left_anti").withColumn("n", F.monotonically_increasing_id() + 1)
+    added = fresh.join(F.broadcast(top)).select((F.col("top") + F.col("n")).alias("id"), "intent_id", F.col("e").alias("response_excerpt"), F.col("o").alias("outcome"), F.col("s").alias("score"), F.col("g").alias("grader"), F.lit(True).alias("graded"))
+    return old.unionByName(added)
+
+
+def attached(resolutions: DataFrame, answers: DataFrame) -> DataFrame:
+    """Resolutions after answers (intent_id, text): the newest row of an intent takes the text, at most 600 characters of it, if it has none."""
+    texts = answers.where("text is not null").groupBy("intent_id").agg(F.substring(F.max("text"), 1, EXCERPT_KEPT).alias("__e"))
+    newest = resolutions.groupBy("intent_id").agg(F.max("id").alias("__id")).join(texts, "intent_id").select(F.col("__id").alias("id"), "__e")
+    joined = resolutions.join(newest, "id", "left")
+    take = F.col("__e").isNotNull() & (F.coalesce("response_excerpt", F.lit("")) == "")
+    return joined.withColumn("response_excerpt", F.when(take, F.col("__e")).otherwise(F.col("response_excerpt"))).drop("__e")
+
+
+def best_resolutions(resolutions: DataFrame) -> DataFrame:
+    """(intent_id, best): the resolution with an answer of the best score of each intent; ties go to the greatest id."""
+    rows = resolutions.where("intent_id is not null and response_excerpt is not null and response_excerpt <> ''")
+    cells = F.struct(F.coalesce("score", F.lit(-1.0)).alias("score"), "id", "outcome", F.substring("response_excerpt", 1, EXCERPT_KEPT).alias("excerpt"))
+    return rows.groupBy("intent_id").agg(F.max(cells).alias("best"))
+
+
+def recall_scoped(intents: DataFrame, resolutions: DataFrame, asked: DataFrame, topk: int = 5, least: float = RECALL) -> DataFrame:
+    """(query_id, rank, id, score, own, best): stored intents (id, text, project) for each of (id, text, project), best known first.
+
+    An intent of the query's own key scores 1, others by Jaccard of their terms, from `least` on. Those of the query's
+    project come first, then by score and id; each has its best resolution. Nothing finds itself by row.
+    """
+    key = T.intent_key(F.array_join(T.intent_terms("text"), " "))
+    exact = asked.select(F.col("id").alias("query_id"), key.alias("k")).join(intents.select("id", key.alias("k")), "k").select("query_id", "id", F.lit(1.0).alias("score")).where("query_id <> id")
+    near = recall(intents, asked, 1 << 30, least).select("query_id", "id", "score")
+    both = exact.unionByName(near).groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    placed = both.join(asked.select(F.col("id").alias("query_id"), F.col("project").alias("__own")), "query_id").join(intents.select("id", "project"), "id")
+    rows = placed.select("query_id", "id", "score", (F.coalesce("project", F.lit("")) == F.coalesce("__own", F.lit(""))).alias("own"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("own"), F.desc("score"), "id"))
+    top = rows.withColumn("rank", rank).where(F.col("rank") <= topk)
+    return top.join(best_resolutions(resolutions), top["id"] == F.col("intent_id"), "left").select("query_id", "rank", "id", "score", "own", F.col("best.id").alias("best"))
+
+
+def injections(intents: DataFrame, resolutions: DataFrame, budget: int = 400) -> DataFrame:
+    """(intent_id, text): a note on each intent (id, text, frequency) for a prompt: a heading, the best answer that resolved it and
+    one that failed, as whole lines within a budget of four characters a token. Intents without answers have the heading only."""
+    line = lambda mark, c: F.when(F.col(c).isNotNull(), F.concat(F.lit(mark), T.oneline(F.col(c), 240)))
+    rows = resolutions.where("response_excerpt is not null and response_excerpt <> ''").withColumn("o", F.lower(F.trim("outcome")))
+    first = lambda o: F.max(F.when(F.col("o") == o, F.struct(F.coalesce("score", F.lit(-1.0)).alias("s"), "id", "response_excerpt")))["response_excerpt"]
+    per = rows.groupBy("intent_id").agg(first("resolved").alias("good"), first("unresolved").alias("bad"))
+    all_ = intents.join(per, intents["id"] == per["intent_id"], "left")
+    heading = F.concat(F.lit("Asked before ("), F.col("frequency").cast("string"), F.lit("x): "), T.oneline(F.col("text"), 200))
+    lines = F.array_compact(F.array(heading, line("+ ", "good"), line("- ", "bad")))
+    fold = F.aggregate(lines, F.lit(""), lambda acc, x: F.when(acc == "", x).when(F.length(acc) + 1 + F.length(x) <= 4 * budget, F.concat(acc, F.lit("\n"), x)).otherwise(acc))
+    return all_.select(F.col("id").alias("intent_id"), fold.alias("text"))
+
+
+def last_messages(messages: DataFrame, n: int = 8, aliases: DataFrame | None = None) -> DataFrame:
+    """The last n messages of each session by number, of repeated numbers the latest."""
+    rows = latest(resolved(messages, aliases).where("session_id is not null and seq is not null"), ["session_id", "seq"], "created_at", ["id"])
+    rank = F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("seq")))
+    return rows.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")

@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A key is salted when it holds more than 1/HOT_SHARE of the left rows; there are fewer than HOT_SHARE such keys.
-HOT_SHARE = 64
-#: Keys of fewer rows than this are never salted.
+#: Keys of fewer rows than this are never salted; a salt gets about so many rows.
 HOT_ROWS = 20_000
+#: Keys salted at most, those of most rows: any other holds less than a 1/HOT_KEYS part of the rows.
+HOT_KEYS, SALTS = 1024, 1024
 
 
 def hot_keys(df: DataFrame, key: str, rows: int = HOT_ROWS) -> dict:
-    """{key: salts} of the keys that hold more than 1/64 of all rows; at most 64 rows reach the driver."""
-    counts = df.groupBy(key).count()
-    top = counts.where((F.col("count") >= rows) & F.col(key).isNotNull()).orderBy(F.desc("count"), key).limit(HOT_SHARE).collect()
-    return {r[0]: min(1024, math.ceil(r[1] / rows)) for r in top}
+    """{key: salts} of the keys with at least `rows` rows; at most HOT_KEYS rows reach the driver."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(key).count()
+    salts = F.least(F.lit(SALTS), F.ceil(F.col("count") / rows)).cast("int")
+    top = counts.where(F.col("count") >= rows).orderBy(F.desc("count"), key).limit(HOT_KEYS).select(key, salts).collect()
+    return {r[0]: r[1] for r in top}
 
 
 def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", rows: int = HOT_ROWS) -> DataFrame:
@@ -28,9 +27,8 @@ def skew_join(left: DataFrame, right: DataFrame, key: str, how: str = "inner", r
     hot = hot_keys(left, key, rows)
     if not hot:
         return left.join(right, key, how)
-    kind = left.schema[key].dataType
-    salts = F.create_map(*[F.lit(x).cast(kind) if i % 2 == 0 else F.lit(int(x)) for kv in hot.items() for i, x in enumerate(kv)])
-    of = lambda df: F.coalesce(F.try_element_at(salts, df[key]), F.lit(1))
-    salted = left.withColumn("__salt", F.floor(F.rand(7) * of(left)).cast("int"))
-    copies = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), of(right) - 1)))
+    known = F.broadcast(left.sparkSession.createDataFrame(list(hot.items()), f"{key} {left.schema[key].dataType.simpleString()}, __salts int"))
+    of = F.coalesce("__salts", F.lit(1))
+    salted = left.join(known, key, "left").withColumn("__salt", F.floor(F.rand(7) * of).cast("int")).drop("__salts")
+    copies = right.join(known, key, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), of - 1))).drop("__salts")
     return salted.join(copies, [key, "__salt"], how).drop("__salt")

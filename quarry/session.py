@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Settings that results or plans depend on; sizes (memory, cores) are left to the cluster.
 SETTINGS = {
@@ -34,10 +35,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share, as spark.checkpoint.dir names it; where it is unset (tests), a temporary one."""
+    """The folder all executors share, as spark.checkpoint.dir names it. Where it is unset, a temporary one, in local mode only."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not getattr(shared_dir, "own", None):
         shared_dir.own = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
     return f"file://{shared_dir.own}"
@@ -55,6 +59,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a side that is broadcast, at most.
+BROADCAST_ROWS = 100_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df with a hint to broadcast it if it has no more than so many rows; else as it is, and its joins shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ship(spark: SparkSession) -> None:
     """Make this package importable in Python workers that lack it on their path; once per application."""
     if getattr(ship, "sent", None) == spark.sparkContext.applicationId:
