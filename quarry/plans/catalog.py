@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quarry.functions import text as T
 from quarry.operators import chunking, graph, memory, retrieval
 from quarry.operators.snapshot import append_absent, latest, upsert
-from quarry.plans import files, oracle
+from quarry.plans import files, knowledge, oracle, streams
 from quarry.session import table
 from quarry.streaming import tail
 
@@ -24,16 +24,12 @@ def _over(function: Callable[..., DataFrame], *names: str) -> Query:
 
 
 def _sql(text: str) -> Query:
-    """A relational query over the tables it names; array positions count from 1."""
+    """A relational query over the tables behind its FROM and JOIN; array positions count from 1."""
     text = re.sub(r"(\w+)\[(\d)\]", r"element_at(\1, \2)", text)
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        names = [n for n in oracle.TABLES if n in text]
-        for n in names:
-            table(spark, sf_dir, n).createOrReplaceTempView(n)
-        return spark.sql(text)
-
-    return run
+    names = [n for n in oracle.TABLES if re.search(rf"(?i)\b(?:from|join)\s+{n}\b", text)]
+    for n in names:
+        text = re.sub(rf"(?i)\b(from|join)(\s+){n}\b", rf"\1\2{{{n}}}", text)
+    return lambda spark, sf_dir: spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
 
 
 def _current(docs: DataFrame) -> DataFrame:
@@ -256,8 +252,8 @@ def queries() -> dict[str, Query]:
         "stream_tail": stream_tail,
         "asof_orders": _over(asof_orders, "orders", "lineitem"),
         "approx_parts": _over(approx_parts, "lineitem"),
-    } | files.queries() | {name: _sql(text) for name, text in (oracle.SHARED | files.SHARED).items()}
+    } | files.queries() | {name: _sql(text) for name, text in (oracle.SHARED | files.SHARED).items()} | knowledge.queries() | streams.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.SQL | oracle.SHARED | files.SQL | files.SHARED
+    return oracle.SQL | oracle.SHARED | files.SQL | files.SHARED | knowledge.SQL | streams.SQL

@@ -157,12 +157,13 @@ WITH f AS (SELECT DISTINCT d.id, root_path || '/' || rel_path AS path FROM kb_do
 m AS (SELECT f.id, path, name, len(string_split(root_path, '/')) AS depth FROM f JOIN kb_project p ON path = root_path OR starts_with(path, root_path || '/')),
 b AS (SELECT * FROM m QUALIFY row_number() OVER (PARTITION BY id, path ORDER BY depth DESC, name DESC) = 1)
 SELECT name AS project, depth, count(*) AS files FROM b GROUP BY ALL""",
-    "transcript_messages": r"""
-SELECT lower(trim(role)) AS role, count(*) AS turns, sum(length(text)) AS chars FROM message
-WHERE session_id IS NOT NULL AND seq IS NOT NULL AND regexp_matches(text, '[^\s\x{0B}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]') AND (lower(trim(role)) IN ('user', 'assistant') OR (lower(trim(role)) = 'tool' AND seq % 3 <> 2)) GROUP BY 1""",
+    "transcript_messages": rf"""
+WITH {oracle._MESSAGES}
+SELECT role, count(*) AS turns, sum(length(text)) AS chars FROM msg
+WHERE session_id IS NOT NULL AND seq IS NOT NULL AND regexp_matches(text, '[^\s\x{{0B}}\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\x{{FEFF}}]') AND (role IN ('user', 'assistant') OR (role = 'tool' AND seq % 3 <> 2)) GROUP BY 1""",
     "prompt_pairs": f"""
-WITH u AS (SELECT DISTINCT lower(session_id) AS session_id, seq FROM message
-  WHERE session_id IS NOT NULL AND seq IS NOT NULL AND text IS NOT NULL AND lower(trim(role)) = 'user' AND NOT regexp_matches(text, '{oracle._MACHINE}'))
+WITH {oracle._MESSAGES}, u AS (SELECT DISTINCT session_id, seq FROM msg
+  WHERE session_id IS NOT NULL AND seq IS NOT NULL AND text IS NOT NULL AND role = 'user' AND NOT regexp_matches(text, '{oracle._MACHINE}'))
 SELECT session_id, seq, lag(seq) OVER (PARTITION BY session_id ORDER BY seq) AS previous FROM u QUALIFY previous IS NOT NULL""",
     "node_sample": "SELECT label, vec_id FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY sha256(vec_id::VARCHAR), vec_id) <= 40",
 }
@@ -173,9 +174,6 @@ WITH c AS (SELECT label, avg(cast(embedding[1] AS DOUBLE)) AS cx, avg(cast(embed
 SELECT e.label, round(greatest(0.55, max(embedding[1] - cx)) + 0.2, 6) AS east, round(greatest(0.55, max(cx - embedding[1])) + 0.2, 6) AS west,
   round(greatest(0.55, max(embedding[2] - cy)) + 0.2, 6) AS north, round(greatest(0.55, max(cy - embedding[2])) + 0.2, 6) AS south
 FROM embeddings e JOIN c ON c.label = e.label GROUP BY e.label""",
-    "unembedded_documents": """
-SELECT d.project_id, count(*) AS files FROM kb_document d ANTI JOIN emb_minilm_384 e ON e.content_hash = d.content_hash
-WHERE d.content IS NOT NULL AND trim(d.content) <> '' GROUP BY d.project_id""",
     "orphan_vectors": """
 SELECT e.space_id, count(DISTINCT e.embedding_id) AS vectors FROM emb_minilm_384 e ANTI JOIN kb_document d ON e.content_hash = d.content_hash GROUP BY e.space_id""",
     "session_orphans": """

@@ -10,24 +10,6 @@ TABLES = (
 ).split()
 
 SHARED = {
-    "project_summary": """
-WITH docs AS (SELECT project_id, count(*) AS documents, count(DISTINCT source_id) AS sources FROM kb_document GROUP BY project_id),
-msgs AS (SELECT project_id, count(*) AS messages FROM message GROUP BY project_id)
-SELECT p.name, coalesce(d.documents, 0) AS documents, coalesce(d.sources, 0) AS sources, coalesce(m.messages, 0) AS messages
-FROM kb_project p LEFT JOIN docs d ON d.project_id = p.id LEFT JOIN msgs m ON m.project_id = p.id""",
-    "project_status": """
-WITH c AS (SELECT project_id, count(*) AS files, count(content) AS filled FROM kb_document GROUP BY project_id)
-SELECT p.name, coalesce(files, 0) AS files, CASE WHEN coalesce(filled, 0) >= coalesce(files, 0) THEN 'ready' ELSE concat('filled ', cast(filled AS VARCHAR(20)), '/', cast(files AS VARCHAR(20))) END AS status
-FROM kb_project p LEFT JOIN c ON c.project_id = p.id""",
-    "project_tree": """
-WITH RECURSIVE t AS (
-  SELECT id, name, 0 AS depth, cast(name AS VARCHAR(4000)) AS path FROM kb_project WHERE parent_id IS NULL
-  UNION ALL SELECT p.id, p.name, t.depth + 1, cast(concat(t.path, '/', p.name) AS VARCHAR(4000)) FROM kb_project p JOIN t ON p.parent_id = t.id
-)
-SELECT t.name, t.depth, t.path, count(d.id) AS documents FROM t LEFT JOIN kb_document d ON d.project_id = t.id GROUP BY t.name, t.depth, t.path""",
-    "doc_inventory": """
-SELECT p.name AS project, d.source_id, d.rel_path, length(coalesce(d.content, '')) AS chars
-FROM kb_document d JOIN kb_project p ON d.project_id = p.id ORDER BY p.name, d.source_id, d.rel_path, chars LIMIT 200""",
     "table_counts": """
 SELECT 'kb_document' AS name, count(*) AS n FROM kb_document UNION ALL SELECT 'message', count(*) FROM message UNION ALL SELECT 'intent', count(*) FROM intent
 UNION ALL SELECT 'intent_resolution', count(*) FROM intent_resolution UNION ALL SELECT 'emb_minilm_384', count(*) FROM emb_minilm_384 UNION ALL SELECT 'documents', count(*) FROM documents""",
@@ -81,7 +63,10 @@ _MACHINE = (
     r"^\s*(\[SYSTEM NOTIFICATION|# AGENTS\.md instructions|<(task-notification|system-reminder|local-command-stdout|command-name|command-message"
     r"|recommended_plugins|environment_context|user_instructions|permissions instructions)\b)"
 )
-_USER = f"lower(trim(role)) = 'user' AND text IS NOT NULL AND regexp_matches(text, '[^ \\t\\r\\n]') AND NOT regexp_matches(text, '{_MACHINE}')"
+#: Messages with lower-case sessions and the roles that their spellings resolve to.
+_MESSAGES = """al AS (SELECT DISTINCT lower(trim(alias)) AS alias, lower(trim(role)) AS r FROM role_alias),
+msg AS (SELECT m.id, lower(m.session_id) AS session_id, m.seq, m.text, m.created_at, coalesce(al.r, lower(trim(m.role))) AS role FROM message m LEFT JOIN al ON al.alias = lower(trim(m.role)))"""
+_USER = f"role = 'user' AND text IS NOT NULL AND regexp_matches(text, '[^ \\t\\r\\n]') AND NOT regexp_matches(text, '{_MACHINE}')"
 _CURRENT = """cur AS (SELECT * FROM kb_document QUALIFY row_number() OVER (PARTITION BY project_id, source_id, rel_path ORDER BY created_at DESC NULLS LAST) = 1)"""
 _OLD = """old AS (SELECT * FROM kb_document WHERE created_at < TIMESTAMPTZ '2025-07-01 00:00:00+00' QUALIFY row_number() OVER (PARTITION BY project_id, source_id, rel_path ORDER BY created_at DESC) = 1)"""
 _WORDS = "unnest(regexp_extract_all(lower({t}), '[a-z0-9]+')) AS term"
@@ -153,7 +138,7 @@ SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embe
 FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY rank <= 8""",
     "knn_links": f"""
 WITH k AS (SELECT a.vec_id AS q, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS c FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id <> b.vec_id
-  WHERE a.vec_id % 50 = 0 QUALIFY {_GROUP.format(by="a.vec_id", o="round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id")} <= 3)
+  QUALIFY {_GROUP.format(by="a.vec_id", o="round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id")} <= 3)
 SELECT least(q, id) AS a, greatest(q, id) AS b, max(floor(c * 1e4 + 0.5) / 1e4) AS weight FROM k GROUP BY 1, 2""",
     "sparse_topk": f"WITH {_LEGS} SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY sparse DESC, doc_id) AS rank, doc_id, sparse FROM sp QUALIFY rank <= 8",
     "hybrid_search": _fused("query_id", 32) + " SELECT query_id, rank, doc_id, dense, sparse, rrf, agreement, tier FROM h",
@@ -180,7 +165,7 @@ WITH k AS (SELECT coalesce(regexp_matches(intent_text, '(?i)\\b(?:{T.SCOPED})\\b
 n AS (SELECT CASE WHEN own AND NOT common THEN 'scoped' WHEN common AND NOT own THEN 'shared' ELSE 'balanced' END AS intent FROM k)
 SELECT intent, CASE intent WHEN 'scoped' THEN 0.8 WHEN 'shared' THEN 0.2 ELSE 0.5 END AS scoped, CASE intent WHEN 'scoped' THEN 0.2 WHEN 'shared' THEN 0.8 ELSE 0.5 END AS shared, count(*) AS n FROM n GROUP BY 1""",
     "intent_normalized": f"""
-WITH t AS (SELECT array_to_string({_intent_terms("text")}, ' ') AS normalized, created_at FROM message WHERE {_USER})
+WITH {_MESSAGES}, t AS (SELECT array_to_string({_intent_terms("text")}, ' ') AS normalized, created_at FROM msg WHERE {_USER})
 SELECT 'i' || substr(sha256(normalized), 1, 30) AS id, normalized, count(*) AS frequency, min(created_at)::TIMESTAMP AS first_seen, max(created_at)::TIMESTAMP AS last_seen FROM t WHERE normalized <> '' GROUP BY normalized""",
     "intent_recall": f"""
 WITH i AS (SELECT id, any_value(list_distinct({_intent_terms("intent_text")})) AS s FROM intent GROUP BY id),
@@ -188,7 +173,7 @@ p AS (SELECT a.id AS query_id, b.id AS id, len(list_intersect(a.s, b.s)) / len(l
   WHERE ('0x' || right(a.id, 2))::INT % 50 = 0 AND len(a.s) > 0 AND len(b.s) > 0)
 SELECT query_id, id, floor(raw * 1000 + 0.5) / 1000 AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, id) AS rank FROM p WHERE raw >= 0.45 QUALIFY rank <= 5""",
     "intent_grades": f"""
-WITH t AS (SELECT * FROM message WHERE {_USER} AND session_id IS NOT NULL AND seq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY created_at DESC NULLS LAST, id DESC) = 1),
+WITH {_MESSAGES}, t AS (SELECT * FROM msg WHERE {_USER} AND session_id IS NOT NULL AND seq IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, seq ORDER BY created_at DESC NULLS LAST, id DESC) = 1),
 n AS (SELECT text, lead(text) OVER (PARTITION BY session_id ORDER BY seq) AS nx FROM t),
 s AS (SELECT nx, list_distinct({_intent_terms("text")}) AS a, list_distinct({_intent_terms("nx")}) AS b FROM n WHERE nx IS NOT NULL),
 g AS (SELECT CASE WHEN len(a) > 0 AND len(b) > 0 THEN len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) ELSE 0 END AS sim,

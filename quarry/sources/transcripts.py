@@ -88,3 +88,13 @@ def read_history(spark: SparkSession, path: str) -> DataFrame:
     v = F.try_parse_json("json")
     out = rows.select("path", "line", F.trim(_string(v, "$.display")).alias("text"), _string(v, "$.project").alias("project"), F.timestamp_millis(F.try_variant_get(v, "$.timestamp", "bigint")).alias("at"))
     return out.where((F.col("text") != "") & ~F.col("text").startswith("/") & ~F.col("text").rlike(MACHINE))
+
+
+def history_messages(history: DataFrame, projects: DataFrame, session: str = "history") -> DataFrame:
+    """Rows of a prompt history as messages (session_id, seq, role, text, project_id, created_at) of one synthetic session.
+
+    seq is the line; the project is the one whose root the prompt's path is; a prompt without a time has the present one.
+    """
+    roots = projects.where("root_path is not null").groupBy("root_path").agg(F.min("id").alias("project_id"))
+    known = history.join(F.broadcast(roots), F.col("project") == F.col("root_path"), "left")  # projects are few: their table is fixed
+    return known.select(F.lit(session).alias("session_id"), F.col("line").alias("seq"), F.lit("user").alias("role"), "text", "project_id", F.coalesce("at", F.current_timestamp()).alias("created_at"))
