@@ -33,11 +33,16 @@ TRIED = np.arange(-1.0, 5.01, 0.5)
 
 def sentence_words(text: Column) -> Column:
     """The words in lower case, flat, a line feed between sentences; without code blocks, headings, mark-up, list marks, speakers and paths."""
-    t = F.regexp_replace(text, "(?s)```.*?(?:```|\\z)|<(h[1-6]|pre|code)\\b[^>]*>.*?</\\1>", "\n")
-    t = F.regexp_replace(t, "(?m)^[\\x{FEFF} \\t]*#{1,6}[ \\t].*$|^[ \\t]*(?:=+|-{3,})[ \\t]*$|</?[a-zA-Z][^>\\n]*+>", "\n")
-    t = F.regexp_replace(t, "(?m)^[\\x{FEFF} \\t]*(?:[-*+>]|\\d+[.)]|\\|[ \\t]*\\d+[ \\t]*\\||\\[\\d\\d?:\\d\\d\\][ \\t]*[^\\s:]{1,40}:)[ \\t]+|[ \\t]*\\|[ \\t]*$", "")
+    def out(t: Column, sign: str, pattern: str, put: str = "\n") -> Column:
+        """t without what the pattern matches; texts without its sign are not looked through."""
+        return F.element_at(F.transform(F.array(t), lambda x: F.when(x.rlike(sign), F.regexp_replace(x, pattern, put)).otherwise(x)), 1)
+
+    t = out(text, "```|<[hpc]", "(?s)```.*?(?:```|\\z)|<(h[1-6]|pre|code)\\b[^>]*>.*?</\\1>")
+    t = out(t, "#|==|--|=[ \\t]*(?:[\\r\\n]|\\z)", "(?m)^[\\x{FEFF} \\t]*#{1,6}[ \\t].*$|^[ \\t]*(?:=+|-{3,})[ \\t]*$")
+    t = out(t, "<", "</?[a-zA-Z][^>\\n]*+>")
+    t = out(t, "[-*+>|\\[.)]", "(?m)^[\\x{FEFF} \\t]*(?:[-*+>]|\\d+[.)]|\\|[ \\t]*\\d+[ \\t]*\\||\\[\\d\\d?:\\d\\d\\][ \\t]*[^\\s:]{1,40}:)[ \\t]+|[ \\t]*\\|[ \\t]*$", "")
     t = F.regexp_replace(t, "(?<=[.!?…])[\"”»)\\]]*\\s+", "\n")
-    return F.regexp_extract_all(F.lower(F.regexp_replace(t, "\\S*[/_\\d]\\S*", " ")), F.lit("[\\r\\n]+|[\\p{L}\\p{M}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.regexp_replace(t, "(?<!\\S)[^\\s/_\\d]*+[/_\\d]\\S*+", " ")), F.lit("[\\r\\n]+|[\\p{L}\\p{M}]+"), F.lit(0))
 
 
 def _cells(documents: DataFrame, labels: DataFrame) -> DataFrame:
