@@ -4,7 +4,9 @@ import tracemalloc
 
 import numpy as np
 
-from quarry.llm import neighbours
+from pyspark.sql import functions as F
+
+from quarry.llm import conversations, neighbours
 
 
 def test_near_copies_take_bounded_memory():
@@ -29,3 +31,27 @@ def test_probed_share_does_not_fall_with_the_number_of_vectors():
         for reach in (neighbours.REACH, neighbours.CLOSE_REACH):
             most, wanted = neighbours.budget(n, reach)
             assert most <= neighbours.BLOCK_MOST and wanted >= int(n * reach / 16)
+
+
+def test_late_rows_meet_their_session_and_too_late_ones_do_not(spark, tmp_path):
+    aliases = spark.createDataFrame([("user", "user"), ("bot", "assistant")], "alias string, role string")
+    schema = spark.createDataFrame([], "id string, session_id string, role string, seq int, text string, created_at timestamp").schema
+    source, root = f"{tmp_path}/in", f"{tmp_path}/run"
+
+    def arrive(*rows):
+        df = spark.createDataFrame([(f"{s}{i}", s, r, i, t, f"2026-01-01 {at}:00") for s, i, r, t, at in rows], "id string, session_id string, role string, seq int, text string, at string")
+        df.select("id", "session_id", "role", "seq", "text", F.col("at").cast("timestamp").alias("created_at")).coalesce(1).write.mode("append").parquet(source)
+        conversations.advance(spark, f"{source}/*.parquet", schema, aliases, root, "1 hour", "30 minutes")
+        return {r.session: r.kept for r in conversations.judged(spark, root).collect()}
+
+    assert arrive(("a", 0, "user", "one", "10:00"), ("c", 0, "user", "two", "10:05")) == {}  # all open
+    # an hour behind the last event is still in time; the last row takes the watermark past the others
+    seen = arrive(("a", 1, "bot", "reply", "10:10"), ("b", 0, "user", "late", "09:30"), ("b", 1, "bot", "late reply", "09:31"), ("x", 0, "user", "open", "14:00"))
+    assert seen == {"a": True, "b": True, "c": False}
+    seen = arrive(("c", 1, "bot", "too late", "10:15"), ("d", 0, "user", "too late", "09:00"), ("y", 0, "user", "open", "14:10"))
+    assert seen == {"a": True, "b": True, "c": False}
+    # a session that goes on after a pause is judged again
+    seen = arrive(("a", 2, "user", "more", "15:00"), ("z", 0, "user", "push", "20:00"))
+    assert seen == {"a": False, "b": True, "c": False, "x": False, "y": False}
+    turns = conversations.rebuilt(spark, root).orderBy("session_id", "turn").collect()
+    assert [(r.session_id, r.turn, r.role, r.text) for r in turns] == [("b", 0, "user", "late"), ("b", 1, "assistant", "late reply")]
