@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,8 @@ CENTROIDS = 64
 BLOCK_SHARE, BLOCK_LEAST, BLOCK_MOST = 16, 2048, 65_536
 #: Nearest cells are probed until they hold so many sixteenths of all entries; fewer will do where only close neighbours are wanted.
 REACH, CLOSE_REACH = 2.0, 0.5
+#: Queries that one task answers from a slice, about so many at most; further ones go to copies of the slice.
+QUERIES_MOST = 65_536
 #: Queries multiplied with a block at once.
 CHUNK = 512
 #: Products looked at and pairs reranked at once, at most; one query's products are not divided.
@@ -197,6 +200,11 @@ def budget(n: int, reach: float) -> tuple[int, int]:
     return min(BLOCK_MOST, share), max(1000, int(share * reach))
 
 
+def copies(n: int, most: int, wanted: int, slices: int) -> int:
+    """Of each slice, so that each answers about QUERIES_MOST queries at most: n vectors probe `wanted` entries each and their own slice."""
+    return max(1, math.ceil((wanted + 2 * n / max(1, slices)) / QUERIES_MOST))
+
+
 def _distinct(rows: DataFrame, dim: int, vector: str, key: str) -> DataFrame:
     """(h, vec): each distinct unit vector once."""
     units = unit_vectors(rows, dim, vector, key)
@@ -223,28 +231,34 @@ def nearest_distinct(rows: DataFrame, k: int, dim: int, vector: str, key: str, m
         return spark.createDataFrame([], "h binary, nh binary, cosine double")
     most, wanted = budget(sum(counts.values()), reach)
     index.store({int(c): int(m) for c, m in counts.items()}, most)
+    parts = copies(sum(counts.values()), most, wanted, int(index.base[-1]))
     stored = spark.sparkContext.broadcast(index)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each vector to the slice of its block (kind 0, it is entry and query there), and as a query to the other slices it probes (kind 1)."""
+        """Each vector to the slice of its block (kind 0, it is entry and query there), to the slice's other copies (kind 1,
+        entry only), and as a query to the other slices it probes (kind 2). Which copy answers it depends on its digest."""
         ix = stored.value
         for b in batches:
             if not b.num_rows:
                 continue
             x = _matrix(b, dim)
             home = ix.block[ix.cells(x)]
-            own = np.array([int.from_bytes(h.as_py()[:6], "big") for h in b.column("h")]) % np.array(ix.slices)[home] + ix.base[home]
-            row, slot, kind = list(range(len(x))), own.tolist(), [0] * len(x)
+            digest = np.array([int.from_bytes(h.as_py()[:6], "big") for h in b.column("h")])
+            own, copy = digest % np.array(ix.slices)[home] + ix.base[home], (digest // 65_521 % parts).tolist()
+            row, slot, kind = [], [], []
+            for i, s in enumerate(own.tolist()):
+                for c in range(parts):
+                    row.append(i), slot.append(s * parts + c), kind.append(0 if c == copy[i] else 1)
             for i, blocks in enumerate(ix.probes(x, wanted)):
                 for s in (s for q in {*blocks, int(home[i])} for s in range(ix.base[q], ix.base[q + 1])):
                     if s != own[i]:
-                        row.append(i), slot.append(s), kind.append(1)
+                        row.append(i), slot.append(s * parts + copy[i]), kind.append(2)
             take = pa.array(row)
             yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(kind, pa.int8()), b.column("h").take(take), b.column("vec").take(take)], ["slot", "kind", "h", "vec"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come by slice, entries first. Entries are kept (a slice at most), queries are answered as they come."""
-        slot, ids, parts, base, done = -1, [], [], None, False
+        slot, ids, kept, base, asked = -1, [], [], None, 0
 
         def answer(qi: list, q: np.ndarray) -> Iterator[pa.RecordBatch]:
             for at in range(0, len(q), CHUNK):
@@ -254,10 +268,10 @@ def nearest_distinct(rows: DataFrame, k: int, dim: int, vector: str, key: str, m
                 yield pa.RecordBatch.from_arrays([pa.array([qi[at + i] for i in r], pa.binary()), pa.array([ids[j] for j in c], pa.binary()), pa.array(exact)], ["h", "nh", "cosine"])
 
         def close() -> Iterator[pa.RecordBatch]:
-            nonlocal base, done
-            if parts and not done:
-                base, done = np.concatenate(parts), True
-                yield from answer(ids, base)
+            nonlocal base
+            if kept and base is None:
+                base = np.concatenate(kept)
+                yield from answer(ids[:asked], base[:asked])
 
         for b in batches:
             if not b.num_rows:
@@ -268,10 +282,11 @@ def nearest_distinct(rows: DataFrame, k: int, dim: int, vector: str, key: str, m
             for lo, hi in zip([0, *cut], [*cut, len(x)]):
                 if slots[lo] != slot:
                     yield from close()
-                    slot, ids, parts, base, done = slots[lo], [], [], None, False
-                if kinds[lo] == 0:
+                    slot, ids, kept, base, asked = slots[lo], [], [], None, 0
+                if kinds[lo] < 2:
                     ids.extend(hs[lo:hi])
-                    parts.append(x[lo:hi].copy())
+                    kept.append(x[lo:hi].copy())
+                    asked += (hi - lo) * (kinds[lo] == 0)
                 else:
                     yield from close()
                     if base is not None:
@@ -279,7 +294,7 @@ def nearest_distinct(rows: DataFrame, k: int, dim: int, vector: str, key: str, m
         yield from close()
 
     sent = _distinct(rows, dim, vector, key).mapInArrow(send, "slot int, kind byte, h binary, vec binary")
-    placed = sent.repartitionById(int(index.base[-1]), "slot").sortWithinPartitions("slot", "kind")
+    placed = sent.repartitionById(int(index.base[-1]) * parts, "slot").sortWithinPartitions("slot", "kind")
     near = placed.mapInArrow(scan, "h binary, nh binary, cosine double").where("h <> nh")
     rank = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("cosine"), "nh"))
     return near.withColumn("r", rank).where(F.col("r") <= k).drop("r")

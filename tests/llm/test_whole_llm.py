@@ -55,3 +55,18 @@ def test_late_rows_meet_their_session_and_too_late_ones_do_not(spark, tmp_path):
     assert seen == {"a": False, "b": True, "c": False, "x": False, "y": False}
     turns = conversations.rebuilt(spark, root).orderBy("session_id", "turn").collect()
     assert [(r.session_id, r.turn, r.role, r.text) for r in turns] == [("b", 0, "user", "late"), ("b", 1, "assistant", "late reply")]
+
+
+def test_copies_of_slices_answer_alike(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    rows = [(f"v{i:03d}", [float(f) for f in v]) for i, v in enumerate(rng.normal(size=(200, 8)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "embedding_id string, embedding array<float>")
+    one = {(r.id, r.neighbour) for r in neighbours.nearest(df, k=5, dim=8, centroids=4).collect()}
+    monkeypatch.setattr(neighbours, "QUERIES_MOST", 150)
+    assert neighbours.copies(200, 2048, 4096, 1) > 2
+    assert {(r.id, r.neighbour) for r in neighbours.nearest(df, k=5, dim=8, centroids=4).collect()} == one and len(one) == 1000
+    monkeypatch.undo()
+    for n in (40_000, 1_000_000, 50_000_000):
+        most, wanted = neighbours.budget(n, neighbours.REACH)
+        slices = -(-n // most)
+        assert (wanted + 2 * n / slices) / neighbours.copies(n, most, wanted, slices) <= neighbours.QUERIES_MOST
