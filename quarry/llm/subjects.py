@@ -42,7 +42,7 @@ def sentence_words(text: Column) -> Column:
     t = out(t, "<", "</?[a-zA-Z][^>\\n]*+>")
     t = out(t, "[-*+>|\\[.)]", "(?m)^[\\x{FEFF} \\t]*(?:[-*+>]|\\d+[.)]|\\|[ \\t]*\\d+[ \\t]*\\||\\[\\d\\d?:\\d\\d\\][ \\t]*[^\\s:]{1,40}:)[ \\t]+|[ \\t]*\\|[ \\t]*$", "")
     t = F.regexp_replace(t, "(?<=[.!?…])[\"”»)\\]]*\\s+", "\n")
-    return F.regexp_extract_all(F.lower(F.regexp_replace(t, "(?<!\\S)[^\\s/_\\d]*+[/_\\d]\\S*+", " ")), F.lit("[\\r\\n]+|[\\p{L}\\p{M}]+"), F.lit(0))
+    return F.regexp_extract_all(F.lower(F.regexp_replace(t, "(?<!\\S)\\S*?[/_0-9]\\S*+", " ")), F.lit("[\\r\\n]+|[\\p{L}\\p{M}]+"), F.lit(0))
 
 
 def _cells(documents: DataFrame, labels: DataFrame) -> DataFrame:
