@@ -10,8 +10,6 @@ from quarry.llm.pairs import once
 from quarry.llm.splitting import current_documents
 
 OPEN, CLOSE = "([{", ")]}"
-#: Tokens are about so many times the bytes of the texts they come from; files are spread over so many times the tasks of a shuffle.
-SPREAD = 2
 #: Bits of a cell: its character with the mark of a beginning group, its order among the cells of a token, its token's position.
 CHAR, ORDER, PLACE = 8, 2, 30
 
@@ -220,7 +218,7 @@ def unparsable(files: DataFrame) -> DataFrame:
     """
     spark = files.sparkSession
     known = files.where(F.col("lang").isin(*grammar.PRODUCTIONS) & F.col("content").isNotNull()).select("id", "lang", "content")
-    spread = known.repartition(SPREAD * int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
+    spread = known.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "id")
     per = shapes(placed(tokens(spread)))
     per = _taken_out(per, F.col("lang") == "ts", grammar.TYPE_ARGUMENTS, "", "<")
     for lang, pattern in grammar.REDUCED.items():
