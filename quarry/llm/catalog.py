@@ -83,6 +83,13 @@ base AS (
 SELECT s AS session_id FROM ids LEFT JOIN base USING (s) LEFT JOIN shape USING (s)
 WHERE broken IS NULL OR broken OR NOT coalesce(vis, false) OR regexp_matches(coalesce(shape, ''), 'Ua+U|Ua*$')"""
 
+#: The turns of the sessions that are not dropped.
+_P3_TURNS = f"""
+WITH dropped AS ({_P3}), alias AS (SELECT DISTINCT lower(trim(alias)) AS alias, role FROM role_alias)
+SELECT DISTINCT lower(session_id) AS session_id, seq AS turn, a.role AS role,
+  regexp_replace(coalesce(text, ''), '^[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+|[\\s\\x{{0B}}\\x{{85}}\\x{{A0}}\\x{{1680}}\\x{{2000}}-\\x{{200A}}\\x{{2028}}\\x{{2029}}\\x{{202F}}\\x{{205F}}\\x{{3000}}]+$', '', 'g') AS text
+FROM message m LEFT JOIN alias a ON lower(trim(m.role)) = a.alias WHERE session_id IS NOT NULL AND lower(session_id) NOT IN (SELECT session_id FROM dropped)"""
+
 _P5 = """
 WITH v AS (
   SELECT embedding_id AS id, any_value(embedding::DOUBLE[]) AS e FROM emb_minilm_384
@@ -104,4 +111,4 @@ WHERE coalesce(per.n, 0) * max_repeat < weight * total_share * whole.n"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p3_found": _P3, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7}
+    return {"p1_found": _P1, "p3_found": _P3, "p3_conversations": _P3_TURNS, "p5_found": _P5, "p6_found": _P6, "p7_found": _P7}

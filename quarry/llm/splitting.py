@@ -30,7 +30,7 @@ def _pattern(limit: Column, step: Column) -> Column:
     ideographic full stop, and plain characters (not before a combining mark if that can be helped)."""
     least = F.ceil(step / 3).cast("int")
     parts = [
-        ".{1,", step, "}\\z|.{", least, ",", step, "}(?<=\\n[ \\t\\r]{0,8}\\n)|.{", least, ",", step, "}(?<=\\n|\\r(?!\\n))|.{",
+        ".{1,", step, "}\\z|.{", least, ",", step, "}(?<=\\n)(?<=\\n[ \\t\\r]{0,200}\\n)|.{", least, ",", step, "}(?<=\\n|\\r(?!\\n))|.{",
         least, ",", step, "}(?<=[.!?…][\"'”’»)\\]]{0,3}[ \\t])|.{1,", step, "}(?<=[ \\t\\n]|\\r(?!\\n))|.{1,", step,
         "}(?=[ \\t\\r\\n])|.{1,", limit, "}(?<=[ \\t\\n]|\\r(?!\\n))|.{1,", limit, "}(?=[ \\t\\r\\n]|\\z)|.{", least, ",", step, "}(?<=[。！？])|.{1,", step, "}(?!\\p{M})|.{1,", step, "}",
     ]
