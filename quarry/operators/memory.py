@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators.snapshot import latest
+from quarry.operators.snapshot import beside, latest
 
 RECALL, KEPT = 0.45, 12
 #: Beginnings of user text that a program wrote; fixed values of the data's definition.
@@ -45,8 +45,7 @@ def recorded(messages: DataFrame, aliases: DataFrame | None = None) -> DataFrame
 def graded_turns(messages: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
     """(session_id, seq, outcome, score) of each user turn by the next one: re-asked, rejected or accepted. The last of a session has none."""
     turns = latest(user_turns(messages, aliases).where("session_id is not null and seq is not null"), ["session_id", "seq"], "created_at", ["id"])
-    w = Window.partitionBy("session_id").orderBy("seq")
-    rows = turns.withColumn("next", F.lead("text").over(w)).where("next is not null")
+    rows = beside(turns.select("session_id", "seq", "text"), "session_id", "seq", ["text"]).withColumn("next", F.col("__beside.text")).where("next is not null")
     rows = rows.withColumn("sim", T.jaccard(F.array_distinct(T.intent_terms("text")), F.array_distinct(T.intent_terms("next"))))
     yes, no = T.accepts(F.col("next")), T.rejects(F.col("next"))
     bad, half = no | ((F.col("sim") >= 0.6) & ~yes), (F.col("sim") >= 0.35) & ~yes
@@ -163,7 +162,8 @@ def recall_scoped(intents: DataFrame, resolutions: DataFrame, asked: DataFrame,
     An intent of the query's own key scores 1, others by Jaccard of their terms, from `least` on. Those of the query's
     project come first, then by score and id; each has its best resolution. Nothing finds itself by row.
     """
-    key = T.intent_key(F.array_join(T.intent_terms("text"), " "))
+    terms = F.array_join(T.intent_terms("text"), " ")
+    key = F.when(terms != "", T.intent_key(terms))  # without terms nothing is known
     exact = asked.select(F.col("id").alias("query_id"), key.alias("k")).join(intents.select("id", key.alias("k")), "k").select("query_id", "id", F.lit(1.0).alias("score")).where("query_id <> id")
     near = recall(intents, asked, 1 << 30, least).select("query_id", "id", "score")
     both = exact.unionByName(near).groupBy("query_id", "id").agg(F.max("score").alias("score"))

@@ -86,8 +86,9 @@ def finalize(fused: DataFrame, topk: int = TOPK) -> DataFrame:
     return top.withColumn("agreement", agree).withColumn("tier", tier)
 
 
-def search(corpus: DataFrame, queries: DataFrame, topk: int = TOPK) -> DataFrame:
-    """Hybrid search of all queries over one corpus; each leg gives 4 x topk."""
+def search(corpus: DataFrame, queries: DataFrame, topk: int = TOPK, project: str | None = None) -> DataFrame:
+    """Hybrid search of all queries over one corpus, or one project of it; each leg gives 4 x topk. An unknown project finds nothing."""
+    corpus = corpus if project is None else corpus.where(F.col("project") == project)
     return finalize(fuse(leg(dense_scores(corpus, queries), "dense", 4 * topk), leg(sparse_scores(corpus, queries), "sparse", 4 * topk)), topk)
 
 

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
-from quarry.operators import chunking, graph, memory, retrieval
+from quarry.operators import chunking, citations, graph, memory, retrieval
+from quarry.operators.skew import skew_join
 from quarry.operators.snapshot import append_absent, latest, upsert
 from quarry.plans import files, knowledge, oracle, streams
 from quarry.session import table
@@ -136,13 +137,12 @@ def extract_refs(docs: DataFrame) -> DataFrame:
     return _refs(_current(docs), "id", "content").groupBy("kind", "uri").agg(F.countDistinct("id").alias("files"))
 
 
-def citation_verdicts(docs: DataFrame) -> DataFrame:
-    """How many of the references of current files lead to a page: verified ones are in the addresses or titles of files."""
-    cited = _refs(_current(docs), "id", "content").select("kind", F.lower("uri").alias("uri"), "id").distinct()
-    named = docs.select("id", F.concat_ws(" ", "url", "title").alias("named"))
-    there = _refs(named, "id", "named").select("kind", F.lower("uri").alias("uri")).distinct().withColumn("ok", F.lit(True))
-    out = cited.join(there, ["kind", "uri"], "left")
-    return out.groupBy("kind").agg(F.count_if(F.col("ok").isNotNull()).alias("verified"), F.count_if(F.col("ok").isNull()).alias("unverified"))
+def citation_verdicts(docs: DataFrame, corpus: DataFrame) -> DataFrame:
+    """How many of the references of current files are verified: in the text of a document, or the address or title of a file, verbatim."""
+    cited = _refs(_current(docs), "id", "content").distinct()
+    texts = corpus.select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), "text").unionByName(docs.select("id", F.concat_ws(" ", "url", "title").alias("text")))
+    told = cited.join(citations.verdicts(cited, texts).select("kind", "uri", "verified"), ["kind", "uri"])
+    return told.groupBy("kind").agg(F.count_if("verified").alias("verified"), F.count_if(~F.col("verified")).alias("unverified"))
 
 
 def claim_support(resolutions: DataFrame, intents: DataFrame) -> DataFrame:
@@ -150,7 +150,7 @@ def claim_support(resolutions: DataFrame, intents: DataFrame) -> DataFrame:
     claims = latest(intents, ["id"], "last_seen", [F.xxhash64("intent_text")]).select(F.col("id").alias("intent_id"), T.claim_terms(F.col("intent_text")).alias("c"))
     answers = resolutions.where("response_excerpt is not null").select("intent_id", F.col("id").alias("rid"), T.claim_terms(F.col("response_excerpt")).alias("a"))
     score = F.when(F.size("c") > 0, F.size(F.array_intersect("c", "a")) / F.size("c")).otherwise(0.0)
-    best = claims.join(answers, "intent_id").withColumn("score", score).groupBy("intent_id").agg(F.max(F.struct("score", (-F.col("rid")).alias("r"))).alias("b"))
+    best = skew_join(answers, claims, "intent_id").withColumn("score", score).groupBy("intent_id").agg(F.max(F.struct("score", (-F.col("rid")).alias("r"))).alias("b"))
     s = T.half_up(F.col("b.score"), 3)
     return best.select("intent_id", s.alias("score"), (F.col("b.score") >= 0.3).alias("supported"), F.when(F.col("b.score") > 0, -F.col("b.r")).otherwise(-1).alias("answer"))
 
@@ -233,7 +233,7 @@ def queries() -> dict[str, Query]:
         "hybrid_search_global": _over(hybrid_search_global, "documents", "subject_area"),
         "signal_summary": _over(signal_summary, "documents", "subject_area"),
         "extract_refs": _over(extract_refs, "kb_document"),
-        "citation_verdicts": _over(citation_verdicts, "kb_document"),
+        "citation_verdicts": _over(citation_verdicts, "kb_document", "documents"),
         "claim_support": _over(claim_support, "intent_resolution", "intent"),
         "budget_assembly": _over(budget_assembly, "documents"),
         "query_intents": _over(query_intents, "intent"),

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.operators import graph
 from quarry.operators.memory import MACHINE, resolved
-from quarry.operators.snapshot import latest
+from quarry.operators.snapshot import beside, latest
 from quarry.plans import oracle
 from quarry.session import table
 from quarry.sources.files import selected
@@ -91,7 +91,7 @@ def prompt_pairs(messages: DataFrame, aliases: DataFrame) -> DataFrame:
     """(session_id, seq, previous): each user turn that no program wrote, with the one before it in its session."""
     own = resolved(messages, aliases).where("session_id is not null and seq is not null and text is not null").where((F.col("role") == "user") & ~F.col("text").rlike(MACHINE))
     once = own.select("session_id", "seq").distinct()
-    return once.withColumn("previous", F.lag("seq").over(Window.partitionBy("session_id").orderBy("seq"))).where("previous is not null")
+    return beside(once, "session_id", "seq", ["seq"], ahead=False).select("session_id", "seq", F.col("__beside.seq").alias("previous")).where("previous is not null")
 
 
 def node_sample(rows: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from quarry.operators import chunking, citations, graph, ingest, memory, retriev
 from quarry.operators.snapshot import latest
 from quarry.plans import files, oracle
 from quarry.session import table
+from quarry.sources.tables import page
 
 Query = Callable[[SparkSession, str], DataFrame]
 CUT = "2025-07-01"
@@ -196,6 +197,13 @@ def _inputs(docs: DataFrame, areas: DataFrame) -> tuple[DataFrame, DataFrame]:
     return docs.select("doc_id", F.coalesce("project", F.lit("")).alias("project"), "text"), areas.select(F.col("subject").alias("query_id"), F.col("description").alias("text"))
 
 
+def search_project(docs: DataFrame, areas: DataFrame) -> DataFrame:
+    """Hybrid search inside the project with the first name."""
+    corpus, asked = _inputs(docs, areas)
+    first = docs.agg(F.min("project")).first()[0]
+    return retrieval.search(corpus, asked, project=first).select("query_id", "rank", "doc_id", "project", "rrf", "tier")
+
+
 def search_reranked(docs: DataFrame, areas: DataFrame) -> DataFrame:
     corpus, asked = _inputs(docs.dropDuplicates(["doc_id", "text", "project"]), areas)
     fused = retrieval.fuse(retrieval.leg(retrieval.dense_scores(corpus, asked), "dense", 32), retrieval.leg(retrieval.sparse_scores(corpus, asked), "sparse", 32))
@@ -402,6 +410,8 @@ def queries() -> dict[str, Query]:
         "doc_inventory_page": _over(lambda d, p: inventory(d, p, 9999, 100), "kb_document", "kb_project"),
         "intent_page": _over(lambda i: intent_page(i, None, 0, -5), "intent"),
         "intent_page_scoped": _over(lambda i: intent_page(i, "", 999, 3), "intent"),
+        "table_page": _over(lambda o: page(o, ["O_OrderKey", "o_orderstatus", "o_totalprice"], "o_totalprice > 100000 and o_orderstatus <> 'F'", "o_totalprice", True, 20, 5), "orders"),
+        "search_project": _over(search_project, "documents", "subject_area"),
         "unembedded_documents": _over(unembedded_documents, "kb_document", "emb_minilm_384"),
         "filled_projects": _over(filled_projects, "kb_project", "kb_document"),
         "prompt_projects": _over(prompt_projects, "message", "kb_project"),
@@ -513,6 +523,10 @@ WITH {_CUR} SELECT p.name AS project, source_id, rel_path, length(coalesce(conte
 WITH {_CUR} SELECT p.name AS project, source_id, rel_path, length(coalesce(content, '')) AS chars FROM cur JOIN kb_project p ON p.id = project_id ORDER BY ALL LIMIT 500 OFFSET 100""",
     "intent_page": f"WITH {_ONE_INTENT} SELECT id, project, frequency FROM i ORDER BY frequency DESC, id LIMIT 1",
     "intent_page_scoped": f"WITH {_ONE_INTENT} SELECT id, project, frequency FROM i WHERE project = '' ORDER BY frequency DESC, id LIMIT 200 OFFSET 3",
+    "table_page": """
+SELECT o_orderkey, o_orderstatus, o_totalprice, (SELECT count(*) FROM orders WHERE o_totalprice > 100000 AND o_orderstatus <> 'F') AS total FROM orders WHERE o_totalprice > 100000 AND o_orderstatus <> 'F'
+ORDER BY o_totalprice DESC, o_orderkey, o_orderstatus LIMIT 20 OFFSET 5""",
+    "search_project": oracle._fused("query_id", 32).replace("FROM documents WHERE text IS NOT NULL", "FROM documents WHERE text IS NOT NULL AND project = (SELECT min(project) FROM documents)") + " SELECT query_id, rank, doc_id, project, rrf, tier FROM h",
     "unembedded_documents": f"""
 WITH {_CUR} SELECT project_id, count(*) AS files FROM cur WHERE trim(content) <> '' AND content_hash NOT IN (SELECT content_hash FROM emb_minilm_384 WHERE content_hash IS NOT NULL) GROUP BY 1""",
     "filled_projects": f"WITH {_CUR} SELECT name, count(content) AS filled FROM kb_project p JOIN cur ON cur.project_id = p.id GROUP BY p.id, name HAVING count(content) > 0",
@@ -595,7 +609,7 @@ FROM r LEFT JOIN p ON p.id = r.id LEFT JOIN i ON i.id = p.intent_id""",
     "intent_recall_scoped": f"""
 WITH {_ONE_INTENT}, {_ONE_ANSWER}, t AS (SELECT id, project, {_KEY.format(t="intent_text")} AS k, list_distinct({oracle._intent_terms("intent_text")}) AS s FROM i),
 p AS (SELECT a.id AS query_id, b.id, CASE WHEN a.k = b.k THEN 1.0 ELSE floor(len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) * 1000 + 0.5) / 1000 END AS score, coalesce(a.project, '') = coalesce(b.project, '') AS own,
-  a.k = b.k OR len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.45 AS near FROM t a JOIN t b ON a.id <> b.id WHERE ('0x' || right(a.id, 2))::INT % 50 = 0 AND (a.k = b.k OR len(a.s) > 0 AND len(b.s) > 0)),
+  a.k = b.k OR len(list_intersect(a.s, b.s)) / len(list_distinct(list_concat(a.s, b.s))) >= 0.45 AS near FROM t a JOIN t b ON a.id <> b.id WHERE ('0x' || right(a.id, 2))::INT % 50 = 0 AND len(a.s) > 0 AND len(b.s) > 0),
 m AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY own DESC, score DESC, id) AS rank FROM p WHERE near QUALIFY rank <= 5),
 b AS (SELECT intent_id, id AS best FROM r WHERE response_excerpt <> '' QUALIFY row_number() OVER (PARTITION BY intent_id ORDER BY coalesce(score, -1) DESC, id DESC) = 1)
 SELECT query_id, rank, m.id, score::DOUBLE AS score, own, best FROM m LEFT JOIN b ON b.intent_id = m.id""",

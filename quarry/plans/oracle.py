@@ -147,9 +147,10 @@ SELECT least(q, id) AS a, greatest(q, id) AS b, max(floor(c * 1e4 + 0.5) / 1e4)
     + " SELECT query_id, count(*) FILTER (dense > 0) AS dense, count(*) FILTER (sparse > 0) AS lexical, count(*) FILTER (dense > 0 AND sparse > 0) AS both, count(*) AS total FROM h GROUP BY 1",
     "extract_refs": f"WITH {_CURRENT} SELECT r.kind AS kind, r.uri AS uri, count(DISTINCT id) AS files FROM (SELECT id, unnest({_REFS.format(t='content')}) AS r FROM cur WHERE content IS NOT NULL) GROUP BY ALL",
     "citation_verdicts": f"""
-WITH {_CURRENT}, c AS (SELECT DISTINCT r.kind AS kind, lower(r.uri) AS uri, id FROM (SELECT id, unnest({_REFS.format(t="content")}) AS r FROM cur WHERE content IS NOT NULL)),
-d AS (SELECT DISTINCT r.kind AS kind, lower(r.uri) AS uri, true AS ok FROM (SELECT unnest({_REFS.format(t="concat_ws(' ', url, title)")}) AS r FROM kb_document))
-SELECT c.kind, count(*) FILTER (ok IS NOT NULL) AS verified, count(*) FILTER (ok IS NULL) AS unverified FROM c LEFT JOIN d USING (kind, uri) GROUP BY 1""",
+WITH {_CURRENT}, c AS (SELECT DISTINCT r.kind AS kind, r.uri AS uri, id FROM (SELECT id, unnest({_REFS.format(t="content")}) AS r FROM cur WHERE content IS NOT NULL)),
+t AS (SELECT lower(text) AS t FROM documents WHERE text IS NOT NULL UNION ALL SELECT lower(concat_ws(' ', url, title)) FROM kb_document),
+v AS (SELECT uri, bool_or(contains(t, lower(uri))) AS ok FROM (SELECT DISTINCT uri FROM c) u, t GROUP BY 1)
+SELECT kind, count(*) FILTER (ok) AS verified, count(*) FILTER (NOT ok) AS unverified FROM c JOIN v USING (uri) GROUP BY 1""",
     "claim_support": """
 WITH i AS (SELECT DISTINCT id, list_distinct(regexp_extract_all(lower(coalesce(intent_text, '')), '[0-9]+(?:[/:.\\-][0-9]+)+|[A-Za-z0-9_]+')) AS c FROM intent),
 s AS (SELECT i.id AS intent_id, r.id AS rid, CASE WHEN len(c) > 0 THEN len(list_intersect(c, list_distinct(regexp_extract_all(lower(response_excerpt), '[0-9]+(?:[/:.\\-][0-9]+)+|[A-Za-z0-9_]+')))) / len(c) ELSE 0 END AS score
