@@ -61,6 +61,8 @@ class Models:
     def __init__(self, words: np.ndarray, pairs: np.ndarray, sentences: np.ndarray):
         self.words, self.pairs, self.starts = (x.astype(np.float32) for x in (words, pairs, sentences))
         self.total = np.maximum(self.words.sum(0, dtype=np.float64), 1).astype(np.float32)
+        self.shares = self.words / self.total
+        self.inverse = (1 / np.maximum(np.concatenate([self.words, self.starts[None]]), 1)).astype(np.float32)  # the last row is for a sentence's first word
 
     def __reduce__(self) -> tuple:
         """Most counts are 0, so a model travels as a small part of its size."""
@@ -70,15 +72,12 @@ class Models:
 
     def gains(self, u: np.ndarray, b: np.ndarray, lens: np.ndarray) -> np.ndarray:
         """Per sentence and model, by how many nats the model's cross-entropy is below the background's, summed over the words."""
-        first = np.zeros(len(u), dtype=bool)
         starts = np.concatenate([[0], np.cumsum(lens)[:-1]]).astype(np.int64)
-        first[starts] = True
-        w, p = self.words[u], self.pairs[b]
-        before = np.where(first[:, None], 0, self.words[np.concatenate([u[:1], u[:-1]])])
-        before[first] = self.starts
-        p /= np.maximum(before, 1)
+        before = np.concatenate([u[:1], u[:-1]])
+        before[starts] = CELLS
+        w, p = self.shares[u], self.pairs[b]
+        p *= self.inverse[before]
         np.minimum(p, 1, out=p)
-        w /= self.total
         back = BACK[0] * p[:, -1:] + BACK[1] * w[:, -1:] + BACK[2] / CELLS
         own = MIX[0] * p[:, :-1] + MIX[1] * w[:, :-1] + MIX[2] * back
         return np.add.reduceat(np.log(own / back), starts, axis=0)
@@ -145,26 +144,30 @@ def _counted(cells: DataFrame, subjects: list[str], model=None) -> Models:
                 continue
             held = np.isin(part, away)
             if model is None:
-                weight = np.zeros((len(lens), width), dtype=np.float32)
-                own = np.zeros((b.num_rows, width - 1), dtype=np.float32)
+                own = np.zeros((b.num_rows, width), dtype=np.float32)
                 for i, ls in enumerate(labels):
                     if ls and not held[i]:
                         hit = [subjects.index(x) for x in ls if x in subjects]
-                        own[i, hit or [-1]] = 1 / max(1, len(hit))
-                weight[:, :-1] = own[doc]
+                        own[i, hit or [-2]] = 1 / max(1, len(hit))
+                at, c = np.nonzero(own[doc])
+                weight = own[doc[at], c]
             else:
                 allowed[held] = 1
                 post = _posteriors(model.value.gains(u, p, lens), doc, b.num_rows, allowed)
-                weight = np.concatenate([np.where(post > 0.5, post, 0), np.zeros((len(post), 1))], axis=1).astype(np.float32)
-            weight[:, -1] = 1
-            said += weight.sum(0)
-            token = np.repeat(np.arange(len(lens)), lens)
-            for c in range(width):
-                w = weight[token, c]
-                used = np.flatnonzero(w)
-                if len(used):
-                    for k, cell in enumerate((u, p)):
-                        sums[k, :, c] += np.bincount(cell[used], weights=w[used], minlength=CELLS).astype(np.float32)
+                c = post.argmax(1)
+                weight = post[np.arange(len(c)), c]
+                at = np.flatnonzero(weight > 0.5)
+                c, weight = c[at], weight[at]
+            said[0] += np.bincount(c, weights=weight, minlength=width).astype(np.float32)
+            said[0, -1] += len(lens)
+            # each counted sentence's words, with its class and weight
+            reps = lens[at]
+            first = (np.cumsum(lens) - lens)[at]
+            spots = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps) + np.repeat(first, reps)
+            of, much = np.repeat(c, reps), np.repeat(weight, reps)
+            for k, cell in enumerate((u, p)):
+                sums[k] += np.bincount(cell[spots] * width + of, weights=much, minlength=CELLS * width).reshape(CELLS, width).astype(np.float32)
+                sums[k, :, -1] += np.bincount(cell, minlength=CELLS)
         for k, table in enumerate((sums[0], sums[1], said)):
             full = np.flatnonzero(table[:, -1])
             if len(full):
