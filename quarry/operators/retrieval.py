@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import text as T
 from quarry.functions.vector import term_sign, term_slot
-from quarry.session import small
+from quarry.session import BROADCAST_ROWS, small
 
 RRF_K, TOPK = 60, 8
 K1, B = 1.2, 0.75
@@ -40,13 +40,13 @@ def sparse_scores(corpus: DataFrame, queries: DataFrame) -> DataFrame:
     sizes = tf.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     whole = sizes.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     wanted = _query_terms(queries)
-    wanted = small(wanted)
-    hits = tf.join(small(wanted.select("term").distinct()), "term", "left_semi")
+    hint = F.broadcast if wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda d: d  # terms of the queries bound all three
+    hits = tf.join(hint(wanted.select("term").distinct()), "term", "left_semi")
     df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    scored = hits.join(sizes, "doc_id").join(small(df), "term").join(F.broadcast(whole))  # a row for the whole corpus
+    scored = hits.join(sizes, "doc_id").join(hint(df), "term").join(F.broadcast(whole))  # a row for the whole corpus
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    per = scored.withColumn("w", weight).join(wanted, "term")
+    per = scored.withColumn("w", weight).join(hint(wanted), "term")
     return per.groupBy("query_id", "doc_id", "project").agg(F.round(F.sum("w"), 6).alias("sparse"))
 
 
