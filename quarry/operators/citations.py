@@ -26,6 +26,17 @@ def _edges(runs: Column, every: bool) -> Column:
     return F.flatten(F.transform(two, lambda x: F.transform(F.sequence(F.lit(1), F.least(F.length(x["a"]), F.lit(EDGE))), lambda n: key(F.right(x["a"], n), x["b"]))))
 
 
+def _inside_words(single: DataFrame, cut: DataFrame) -> DataFrame:
+    """(uri, text_id) of references of one run (uri, w) and texts (text_id, r) whose words may have them: by the rarest of their three characters."""
+    grams = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))
+    asked = single.select("uri", F.explode(F.array_distinct(grams(F.col("w"), F.least(F.length("w"), F.lit(3))))).alias("g"))
+    words = cut.select("text_id", F.explode(F.array_distinct("r")).alias("w"))
+    pieces = words.select("text_id", F.explode(F.array_distinct(F.concat(*[grams(F.col("w"), F.lit(n)) for n in (1, 2, 3)]))).alias("g"))
+    near = pieces.join(asked.select("g").distinct(), "g", "left_semi").distinct()
+    most = asked.join(near.groupBy("g").agg(F.count("*").alias("n")), "g").groupBy("uri").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    return most.join(near, "g").select("uri", "text_id")
+
+
 def contained(references: DataFrame, texts: DataFrame) -> DataFrame:
     """(uri, text_id): the smallest id of (id, text) whose text has the uri, whatever the case; for each uri of (uri) that is in a text.
 
@@ -49,15 +60,9 @@ def contained(references: DataFrame, texts: DataFrame) -> DataFrame:
     rarest = many.join(counts, "key").groupBy("uri").agg(F.min_by("key", F.struct("n", "key")).alias("key"), F.count("*").alias("found"))
     whole = rarest.join(many.groupBy("uri").agg(F.count("*").alias("keys")), "uri").where("found = keys").select("uri", "key")
     pairs = whole.join(postings, "key").select("uri", "text_id")
-    # references of one run: by their first pair of characters among those of all words
     single = keyed.where(F.size("r") == 1).select("uri", F.get("r", F.lit(0)).alias("w"))
-    grams = lambda w, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w) - n + 1, F.lit(1))), lambda i: F.substring(w, i, n))
-    asked = single.select("uri", F.explode(F.array_distinct(grams(F.col("w"), F.least(F.length("w"), F.lit(3))))).alias("g"))
-    words = cut.select("text_id", F.explode(F.array_distinct("r")).alias("w"))
-    pieces = words.select("text_id", F.explode(F.array_distinct(F.concat(*[grams(F.col("w"), F.lit(n)) for n in (1, 2, 3)]))).alias("g"))
-    near = pieces.join(asked.select("g").distinct(), "g", "left_semi").distinct()
-    most = asked.join(near.groupBy("g").agg(F.count("*").alias("n")), "g").groupBy("uri").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
-    pairs = pairs.unionByName(most.join(near, "g").select("uri", "text_id"))
+    if not single.isEmpty():
+        pairs = pairs.unionByName(_inside_words(single, cut))
     held = pairs.join(rows, "text_id").where(F.contains(F.lower("text"), F.lower("uri")))
     return held.groupBy("uri").agg(F.min("text_id").alias("text_id"))
 
