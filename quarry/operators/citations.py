@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quarry.functions.text import annotate
 
 #: A text and a reference are runs of letters, runs of digits, and single other characters; blanks stand between.
-RUN = "[\\p{L}\\p{M}]+|\\p{N}+|[^\\p{L}\\p{M}\\p{N}\\s]"
+RUN = "[\\p{L}\\p{M}]+|\\p{N}+|\\S"
 #: Characters of a reference's first run, from its end, that an edge is found by.
 EDGE = 3
 
@@ -17,13 +17,9 @@ def _runs(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(RUN), F.lit(0))
 
 
-def _edges(runs: Column, every: bool) -> Column:
-    """Keys of neighbouring runs: the end of the first (all its ends up to EDGE characters if `every`) and the second's first character."""
-    two = F.zip_with(F.slice(runs, 1, F.greatest(F.size(runs) - 1, F.lit(0))), F.slice(runs, 2, F.greatest(F.size(runs) - 1, F.lit(0))), lambda a, b: F.struct(a.alias("a"), F.substring(b, 1, 1).alias("b")))
-    key = lambda a, b: F.concat(F.lit("e"), a, F.lit(" "), b)
-    if not every:
-        return F.transform(two, lambda x: key(F.right(x["a"], F.lit(EDGE)), x["b"]))
-    return F.flatten(F.transform(two, lambda x: F.transform(F.sequence(F.lit(1), F.least(F.length(x["a"]), F.lit(EDGE))), lambda n: key(F.right(x["a"], n), x["b"]))))
+def _edge(runs: Column) -> Column:
+    """Key of the first two runs: the end of the first, up to EDGE characters, and the second's first character."""
+    return F.concat(F.lit("e"), F.right(F.get(runs, F.lit(0)), F.lit(EDGE)), F.lit(" "), F.substring(F.get(runs, F.lit(1)), 1, 1))
 
 
 def _inside_words(single: DataFrame, cut: DataFrame) -> DataFrame:
@@ -49,13 +45,15 @@ def contained(references: DataFrame, texts: DataFrame) -> DataFrame:
     runs = _runs(F.col("uri"))
     keyed = uris.select("uri", F.explode(F.array(runs)).alias("r"))
     inner = F.transform(F.slice("r", 2, F.greatest(F.size("r") - 2, F.lit(0))), lambda x: F.concat(F.lit("r"), x))
-    keys = F.when(F.size("r") > 1, F.array_distinct(F.concat(inner, F.slice(_edges(F.col("r"), False), 1, 1))))
+    keys = F.when(F.size("r") > 1, F.array_distinct(F.concat(inner, F.array(_edge(F.col("r"))))))
     many = keyed.where(F.size("r") > 1).select("uri", F.explode(keys).alias("key"))
     wanted = many.select("key").distinct()
     rows = texts.where("text is not null").select(F.col("id").alias("text_id"), "text")
     cut = rows.select("text_id", F.explode(F.array(_runs(F.col("text")))).alias("r"))
-    own = F.array_distinct(F.concat(F.transform("r", lambda x: F.concat(F.lit("r"), x)), _edges(F.col("r"), True)))
-    postings = cut.select("text_id", F.explode(own).alias("key")).join(wanted, "key", "left_semi")
+    two = cut.select("text_id", F.explode(F.arrays_zip(F.col("r").alias("a"), F.slice("r", 2, F.size("r")).alias("b"))).alias("x")).select("text_id", "x.a", "x.b")
+    edge = lambda n: F.when((F.length("a") >= n) & F.col("b").isNotNull(), F.concat(F.lit("e"), F.right("a", F.lit(n)), F.lit(" "), F.substring("b", 1, 1)))
+    own = two.select("text_id", F.explode(F.array(F.concat(F.lit("r"), "a"), *[edge(n) for n in range(1, EDGE + 1)])).alias("key"))
+    postings = own.join(wanted, "key", "left_semi").distinct()
     counts = postings.groupBy("key").agg(F.count("*").alias("n"))
     rarest = many.join(counts, "key").groupBy("uri").agg(F.min_by("key", F.struct("n", "key")).alias("key"), F.count("*").alias("found"))
     whole = rarest.join(many.groupBy("uri").agg(F.count("*").alias("keys")), "uri").where("found = keys").select("uri", "key")
@@ -63,7 +61,8 @@ def contained(references: DataFrame, texts: DataFrame) -> DataFrame:
     single = keyed.where(F.size("r") == 1).select("uri", F.get("r", F.lit(0)).alias("w"))
     if not single.isEmpty():
         pairs = pairs.unionByName(_inside_words(single, cut))
-    held = pairs.join(rows, "text_id").where(F.contains(F.lower("text"), F.lower("uri")))
+    low = rows.select("text_id", F.explode(F.array(F.lower("text"))).alias("low"))  # once a text, not once a pair
+    held = pairs.join(low, "text_id").where(F.contains("low", F.lower("uri")))
     return held.groupBy("uri").agg(F.min("text_id").alias("text_id"))
 
 
