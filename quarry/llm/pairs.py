@@ -4,24 +4,25 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarry.operators.skew import skew_join
 from quarry.operators.snapshot import latest
-from quarry.session import written
+from quarry.session import BROADCAST_ROWS, written
 
 #: The store keeps so many characters of an answer; a longer answer ends there without being defective.
 STORED = 600
-#: Labelled texts that language profiles are learned from, about so many at most: those of the smallest hashes of their ids.
-LABELLED = 5_000
-#: Pairs that the profile of prompts and answers is fitted on, about so many at most, chosen in the same way.
-TOLD = 20_000
-#: Words of a profile at most, the most frequent ones that tell languages apart; a word tells by a share of at least TELLING.
-VOCABULARY, TELLING = 20_000, 0.6
+#: A word tells languages apart by a share of at least TELLING.
+TELLING = 0.6
+#: Entries that a task keeps of its counts of words, and of the words of runs of characters, before it starts anew; results are alike.
+KEPT = 200_000
 SHINGLE, CONTAINED = 5, 0.8
 
 # What stands for no answer, names of languages, and how answers decline.
@@ -176,33 +177,66 @@ def _spoken(text: Column) -> Column:
     return F.regexp_extract_all(F.regexp_replace(bare, "(?<!\\S)\\S*?[/_0-9]\\S*+|[\\p{L}\\p{N}]++-[\\p{L}\\p{N}]+", " "), F.lit("\\p{L}+"), F.lit(0))
 
 
-def profile(said: DataFrame, least: int = 5) -> tuple[list[str], DataFrame]:
-    """(languages, (word, tells)) of texts (l, words): what share of a word's use each language has, for the words that tell.
+_QUOTED = re.compile("(?s)```.*?(?:```|\\Z)|“[^”]*”|«[^»]*»|\"[^\"]*\"")
+_RUN = re.compile(r"[^ \t\n\x0b\f\r]+")
+
+
+class _Words(dict):
+    """The words of a run of characters without blanks, as in _spoken; found once for each run."""
+
+    def __missing__(self, run: str) -> tuple[str, ...]:
+        words: tuple[str, ...] = ()
+        if not re.search("[/_0-9]", run):
+            kinds = "".join(c if c == "-" else unicodedata.category(c)[0] for c in run)
+            kinds = re.sub("[LN]+-[LN]+", lambda m: " " * len(m[0]), kinds)
+            words = tuple(run[m.start() : m.end()] for m in re.finditer("L+", kinds))
+        self[run] = words
+        return words
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(l, word, n) of texts (l, text) in lower case: how many have the word; a pair (l, word) may come more than once."""
+
+    def told() -> pa.RecordBatch:
+        rows = [(x, w, n) for x, of in counts.items() for w, n in of.items()]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["l", "word", "n"])
+
+    words, counts = _Words(), defaultdict(Counter)
+    for batch in batches:
+        for x, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            counts[x].update(set().union(*map(words.__getitem__, _RUN.findall(_QUOTED.sub(" ", text)))))
+            if len(words) > KEPT:
+                words.clear()
+            if sum(map(len, counts.values())) > KEPT:
+                yield told()
+                counts.clear()
+    yield told()
+
+
+def profile(size: dict[str, int], counts: DataFrame, least: int = 5) -> tuple[list[str], DataFrame]:
+    """(languages, (word, tells)) of so many texts a language and counts (l, word, n) of those with a word: what share of a word's use each language has, for the words that tell.
 
     Rates are per language, so that a frequent language does not own shared words. A language needs a hundredth of the
-    texts; the table has at most VOCABULARY words, those of most texts. Labels may be wrong now and then.
+    texts. Labels may be wrong now and then.
     """
-    counts = said.groupBy("l").agg(F.count("*").alias("n")).collect()  # a row per language
-    most = sum(r.n for r in counts)
-    size = {r.l: r.n for r in sorted(counts, key=lambda r: r.l) if r.n >= most / 100}
-    if not size:
-        return [], said.sparkSession.createDataFrame([], "word string, tells array<double>")
-    words = said.select("l", F.explode(F.array_distinct("words")).alias("word")).groupBy("l", "word").count()
-    rates = words.groupBy("word").agg(F.sum("count").alias("n"), *[(F.sum(F.when(F.col("l") == x, F.col("count")).otherwise(0)) / n).alias(f"r{i}") for i, (x, n) in enumerate(size.items())])
-    total = sum((F.col(f"r{i}") for i in range(len(size))), F.lit(0.0))
-    shares = F.array(*[F.col(f"r{i}") / total for i in range(len(size))])
+    langs = {x: n for x, n in sorted(size.items()) if n >= sum(size.values()) / 100}
+    rates = counts.groupBy("word").agg(F.sum("n").alias("n"), *[(F.sum(F.when(F.col("l") == x, F.col("n")).otherwise(0)) / n).alias(f"r{i}") for i, (x, n) in enumerate(langs.items())])
+    total = sum((F.col(f"r{i}") for i in range(len(langs))), F.lit(0.0))
+    shares = F.array(*[F.col(f"r{i}") / F.nullif(total, F.lit(0.0)) for i in range(len(langs))]).cast("array<double>")
     telling = rates.where(F.col("n") >= least).withColumn("tells", shares).where(F.array_max("tells") >= TELLING)
-    return list(size), telling.orderBy(F.desc("n"), "word").limit(VOCABULARY).select("word", "tells")
+    return list(langs), written(telling.select("word", "tells"), "profile")
 
 
-def _scored(pairs: DataFrame, langs: list[str], known: DataFrame, **sides: str) -> DataFrame:
+def _scored(pairs: DataFrame, langs: list[str], known: DataFrame, **sides: Column) -> DataFrame:
     """(resolution_id, a column per side): by side's words, an array of (s, l), how much they speak each language."""
     every = None
     for side, words in sides.items():
         rows = pairs.select("resolution_id", F.lit(side).alias("side"), F.explode(words).alias("word"))
         every = rows if every is None else every.unionByName(rows)
+    few = known.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    met = every.join(F.broadcast(known), "word") if few else skew_join(every, known, "word")
     sums = [F.sum(F.when(F.col("side") == side, F.get("tells", F.lit(i))).otherwise(0.0)).alias(f"{side}{i}") for side in sides for i in range(len(langs))]
-    per = every.join(F.broadcast(known), "word").groupBy("resolution_id").agg(*sums)
+    per = met.groupBy("resolution_id").agg(*sums)
     scores = lambda p: F.array(*[F.struct(F.col(f"{p}{i}").alias("s"), F.lit(x).alias("l")) for i, x in enumerate(langs)])
     return per.select("resolution_id", *[scores(side).alias(side) for side in sides])
 
@@ -210,25 +244,26 @@ def _scored(pairs: DataFrame, langs: list[str], known: DataFrame, **sides: str)
 def other_language(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(resolution_id): pairs (resolution_id, asked, spoken, wanted) whose answer's words speak another language than the question's, or than the wanted one.
 
-    Two profiles: one from the labelled texts (id, text, lang), about LABELLED of them at most, tells the language of the
-    pairs where it is plain; the other, from those and about TOLD pairs so told, knows the words of prompts and answers.
+    Two profiles: one from all labelled texts (id, text, lang) tells the language of the pairs where it is plain; the
+    other, from those and all pairs so told, knows the words of prompts and answers.
     """
-    known = texts.select("id", "text", language_code("lang").alias("l")).where("l is not null and text is not null")
-    share = int(1_000_000 * min(1.0, LABELLED / max(1, known.count())))
-    some = known.where(F.pmod(F.xxhash64(F.lit(5), "id"), F.lit(1_000_000)) < share)
-    taught = some.select("l", _spoken(F.col("text")).alias("words"))
-    langs, first = profile(taught)
+    none = pairs.select("resolution_id").limit(0)
+    known = texts.select(language_code("lang").alias("l"), "text").where("l is not null and text is not null")
+    sizes = lambda df: Counter({r.l: r["count"] for r in df.groupBy("l").count().collect()})  # noqa: E731  # a row per language
+    size = sizes(known)
+    taught = written(known.select("l", F.lower("text")).mapInArrow(_counted, "l string, word string, n long").groupBy("l", "word").agg(F.sum("n").alias("n")), "words")
+    langs, first = profile(size, taught)
     if not langs:
-        return pairs.select("resolution_id").limit(0)
-    share = int(1_000_000 * min(1.0, TOLD / max(1, pairs.count())))
-    fitted = pairs.where(F.pmod(F.xxhash64(F.lit(6), "resolution_id"), F.lit(1_000_000)) < share)
-    both = fitted.withColumn("words", F.concat(F.coalesce("asked", F.array().cast("array<string>")), F.coalesce("spoken", F.array().cast("array<string>"))))
+        return none
+    words = F.concat(F.coalesce("asked", F.array().cast("array<string>")), F.coalesce("spoken", F.array().cast("array<string>")))
     top = F.sort_array("all", asc=False)
-    plain = _scored(both, langs, first, all="words").where(top[0]["s"] >= 2 * F.coalesce(F.get(top, F.lit(1))["s"], F.lit(0.0)) + 1).select("resolution_id", top[0]["l"].alias("l"))
-    spoken_here, second = profile(both.select("resolution_id", "words").join(plain, "resolution_id").select("l", "words").unionByName(taught))
+    told = _scored(pairs, langs, first, all=words).where(top[0]["s"] >= 2 * F.coalesce(F.get(top, F.lit(1))["s"], F.lit(0.0)) + 1)
+    plain = written(told.select("resolution_id", top[0]["l"].alias("l")), "plain")
+    said = pairs.select("resolution_id", F.array_distinct(words).alias("words")).join(plain, "resolution_id").select("l", F.explode("words").alias("word"))
+    spoken_here, second = profile(size + sizes(plain), said.groupBy("l", "word").agg(F.count("*").alias("n")).unionByName(taught))
     if not spoken_here:
-        return pairs.select("resolution_id").limit(0)
-    per = _scored(pairs, spoken_here, second, q="asked", a="spoken").join(pairs.select("resolution_id", "wanted"), "resolution_id")
+        return none
+    per = _scored(pairs, spoken_here, second, q=F.col("asked"), a=F.col("spoken")).join(pairs.select("resolution_id", "wanted"), "resolution_id")
     asked, spoken = F.array_max("q"), F.array_max("a")
     wanted = F.coalesce("wanted", F.when(asked["s"] > 0, asked["l"]))
     of = F.coalesce(F.array_max(F.filter("a", lambda x: x["l"] == wanted))["s"], F.lit(0.0))

@@ -3,10 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import functions as F
 
-from quarry.llm import conversations, neighbours
+from quarry.llm import conversations, neighbours, pairs
 
 
 def test_near_copies_take_bounded_memory():
@@ -70,3 +71,44 @@ def test_copies_of_slices_answer_alike(spark, monkeypatch):
         most, wanted = neighbours.budget(n, neighbours.REACH)
         slices = -(-n // most)
         assert (wanted + 2 * n / slices) / neighbours.copies(n, most, wanted, slices) <= neighbours.QUERIES_MOST
+
+
+def test_languages_are_learned_from_all_texts_and_pairs(spark, monkeypatch):
+    word = lambda n, end: F.concat(F.translate(F.lpad(n.cast("int").cast("string"), 6, "0"), "0123456789", "abcdefghij"), F.lit(end))
+    told = lambda l, en, de: F.when(l == "en", F.array(*map(F.lit, en))).otherwise(F.array(*map(F.lit, de)))
+    lang = F.when(F.col("id") % 2 == 0, "en").otherwise("de")
+    # 12,000 texts; of 24,000 words each is in six texts of one language
+    rare = [F.when(F.col("lang") == "en", word(n, "en")).otherwise(word(n, "de")) for n in (F.floor(F.col("id") / 12) * 12 + j for j in range(12))]
+    texts = spark.range(12_000).withColumn("lang", lang).select("id", "lang", F.concat_ws(" ", told(F.col("lang"), ["the", "page", "end"], ["das", "ist", "seite"]), *rare).alias("text"))
+    # 40,000 pairs; of their own words each is in six pairs of one language
+    said = spark.range(40_000).withColumn("lang", lang)
+    own = F.when(F.col("lang") == "en", word(F.floor(F.col("id") / 12), "answered")).otherwise(word(F.floor(F.col("id") / 12), "geantwortet"))
+    every = said.select(F.col("id").alias("resolution_id"), told(F.col("lang"), ["the", "page"], ["das", "seite"]).alias("asked"), F.concat(told(F.col("lang"), ["the", "end"], ["das", "ist"]), F.array(own)).alias("spoken"))
+    asked = F.array(F.lit("the"), F.lit("page")).alias("asked")
+    k = F.col("id")
+    of_texts = spark.range(20).select(k + 50_000, asked, F.array(*[word(k * 600 + 588 + j, "de") for j in range(3)]))  # the last group of texts too
+    of_pairs = spark.range(20).select(k + 60_000, asked, F.array(*[word(k * 50 + j, "geantwortet") for j in range(3)]))
+    df = every.union(of_texts).union(of_pairs).withColumn("wanted", F.lit(None).cast("string"))
+    wrong = {n + i for n in (50_000, 60_000) for i in range(20)}
+    assert {r[0] for r in pairs.other_language(df, texts).collect()} == wrong
+    monkeypatch.setattr(pairs, "BROADCAST_ROWS", 10)  # words too many to be broadcast
+    assert {r[0] for r in pairs.other_language(df, texts).collect()} == wrong
+
+
+def test_words_of_texts_are_those_of_pairs(spark, monkeypatch):
+    odd = [
+        "the page, the page.", "a-b-c x-1 y²z-w ²q-r", "/etc/x a_b 12 v2 é e\u0301a ß İ ΑΣ", "say “no thing” or «rien du» or \"not this\" and “open", "x ```code\nmore``` y ```tail", "",
+        "one\u00a0two3 four\u2003five\x0bsix\x1cseven\u2028eight", "Ⅷ½abc 中文字 𝒳y 𝟙z", "l’eau d'or -a- --b a--b", "\"", " \n\t",
+    ]
+    rows = [(f"l{i}", t) for i, t in enumerate(odd)] + [("all", t) for t in odd]
+    df = spark.createDataFrame(rows, "l string, text string")
+    plain = {(r.l, r.word): r["count"] for r in df.select("l", F.explode(F.array_distinct(pairs._spoken(F.col("text")))).alias("word")).groupBy("l", "word").count().collect()}
+    lower = df.select("l", F.lower("text").alias("text"))
+    assert {(r.l, r.word): r.n for r in lower.mapInArrow(pairs._counted, "l string, word string, n long").groupBy("l", "word").agg(F.sum("n").alias("n")).collect()} == plain
+    monkeypatch.setattr(pairs, "KEPT", 3)
+    batch = pa.RecordBatch.from_pylist([r.asDict() for r in lower.collect()])
+    sums = {}
+    for b in pairs._counted(iter([batch, batch])):
+        for r in b.to_pylist():
+            sums[r["l"], r["word"]] = sums.get((r["l"], r["word"]), 0) + r["n"]
+    assert sums == {k: 2 * n for k, n in plain.items()}
