@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,8 +23,8 @@ from quarry.session import BROADCAST_ROWS, written
 STORED = 600
 #: A word tells languages apart by a share of at least TELLING.
 TELLING = 0.6
-#: Entries that a task keeps of its counts of words, and of the words of runs of characters, before it starts anew; results are alike.
-KEPT = 200_000
+#: Entries that a task keeps of the words of runs of characters before it starts anew, and bytes of texts (or of tokens, at eight each) that it counts at once; results are alike.
+KEPT, PIECE = 200_000, 8_000_000
 SHINGLE, CONTAINED = 5, 0.8
 
 # What stands for no answer, names of languages, and how answers decline.
@@ -71,7 +73,7 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 
 def _squashed(text: str) -> list[str]:
     """Words in lower case without anything but letters and digits."""
-    return "".join(c for c in text.lower() if c.isalnum() or c.isspace()).split()
+    return re.sub(r"[^\w\s]+|_+", "", text.lower()).split()
 
 
 def _contained(a: list[str], q: list[str]) -> float:
@@ -99,7 +101,7 @@ def _common(a: list[str], b: list[str]) -> int:
 def _is_copy(answer: str, question: str) -> bool:
     """Whether the answer's shingles are in the question, and nearly all of it aligns, in order, with most of the question."""
     q = _squashed(question)
-    for text in (answer, re.sub(r"\A\s*[>\"“«']*\s*[^\W\d_]+(?: [^\W\d_]+){0,2}\s?:\s", "", answer)):
+    for text in dict.fromkeys((answer, re.sub(r"\A\s*[>\"“«']*\s*[^\W\d_]+(?: [^\W\d_]+){0,2}\s?:\s", "", answer))):
         a = _squashed(text)
         times = max(1, round(len(a) / max(1, len(q))))  # the question may be given back more than once
         if _contained(a, q * times) < CONTAINED:
@@ -118,19 +120,35 @@ class _Refusals:
     """Sentences aligned with templates by longest common subsequence; answers without a template's word pair are spared."""
 
     def __init__(self) -> None:
-        self.no, self.polite = [_plain(t) for t in REFUSALS], [_plain(t) for t in COURTESIES]
+        self.no, self.polite = ([_plain(t) for t in of] for of in (REFUSALS, COURTESIES))
         self.cues = {p for t in self.no for p in zip(t, t[1:])}
+        self.having: dict[int, dict[str, list[int]]] = {}  # by templates: the places of those with a word
+        for templates in (self.no, self.polite):
+            having = self.having[id(templates)] = {}
+            for i, t in enumerate(templates):
+                for w in set(t):
+                    having.setdefault(w, []).append(i)
 
     def only(self, text: str) -> bool:
         """Whether every sentence aligns with a refusal or a courtesy, and one with a refusal."""
-        sentences = [w for p in re.split(r"(?<=[.!?…])\s+|\n+", text) if (w := _plain(p))]
-        if not any(p in self.cues for s in sentences for p in zip(s, s[1:])):
-            return False
-        declined = [self._like(s, self.no, 0.6) for s in sentences]
-        return any(declined) and all(d or self._like(s, self.polite, 0.5) for s, d in zip(sentences, declined))
+        declined = cued = False
+        for p in re.split(r"(?<=[.!?…])\s+|\n+", text):
+            if not (s := _plain(p)):
+                continue
+            if self._like(s, self.no, 0.6):
+                declined = True
+            elif not self._like(s, self.polite, 0.5):
+                return False
+            cued = cued or any(c in self.cues for c in zip(s, s[1:]))
+        return declined and cued
 
     def _like(self, s: list[str], templates: list[list[str]], own: float) -> bool:
-        return any((n := _common(t, s)) >= 0.75 * len(t) and n >= own * len(s) for t in templates)
+        """Only templates that have enough of the words are aligned."""
+        having, met = self.having[id(templates)], Counter()
+        for w in s:
+            met.update(having.get(w, ()))
+        enough = [(templates[i], least) for i, n in met.items() if n >= (least := max(0.75 * len(templates[i]), own * len(s)))]
+        return any(_common(t, s) >= least for t, least in enough)
 
 
 @F.pandas_udf(T.StringType())
@@ -161,7 +179,7 @@ def _may_refuse(answer: Column) -> Column:
     """Whether the answer has two neighbouring words of a refusal's template (or characters whose compatible forms may be such)."""
     cues = _one_of([" ".join(c) for c in _Refusals().cues])
     text = F.replace(F.lower(answer), F.lit("’"), F.lit("'"))
-    return text.rlike(f"(?<![\\p{{L}}\\p{{N}}_'])(?:{cues})(?![\\p{{L}}\\p{{N}}_'])|[\\x{{FB00}}-\\x{{FB06}}\\x{{FF00}}-\\x{{FFEF}}]")
+    return text.rlike(f"(?:\\A|[^\\p{{L}}\\p{{N}}_'])(?:{cues})(?![\\p{{L}}\\p{{N}}_'])|[\\x{{FB00}}-\\x{{FB06}}\\x{{FF00}}-\\x{{FFEF}}]")
 
 
 def language_code(lang: Column | str) -> Column:
@@ -173,12 +191,13 @@ def language_code(lang: Column | str) -> Column:
 
 def _spoken(text: Column) -> Column:
     """Words of a text in lower case, without code, quotations, paths, compounds and numbers."""
-    bare = F.regexp_replace(F.lower(text), "(?s)```.*?(?:```|\\z)|“[^”]*”|«[^»]*»|\"[^\"]*\"", " ")
-    return F.regexp_extract_all(F.regexp_replace(bare, "(?<!\\S)\\S*?[/_0-9]\\S*+|[\\p{L}\\p{N}]++-[\\p{L}\\p{N}]+", " "), F.lit("\\p{L}+"), F.lit(0))
+    bare = F.regexp_replace(F.lower(text), "(?s)(?=[`“«\"])(?:```.*?(?:```|\\z)|“[^”]*”|«[^»]*»|\"[^\"]*\")", " ")
+    left_out = "(?<!\\S)[^\\s/_0-9]*+[/_0-9]\\S*+|(?<![\\p{L}\\p{N}])[\\p{L}\\p{N}]++-[\\p{L}\\p{N}]+"
+    return F.array_remove(F.regexp_extract_all(bare, F.lit(left_out + "|(\\p{L}++)"), F.lit(1)), "")
 
 
-_QUOTED = re.compile("(?s)```.*?(?:```|\\Z)|“[^”]*”|«[^»]*»|\"[^\"]*\"")
-_RUN = re.compile(r"[^ \t\n\x0b\f\r]+")
+#: In RE2's syntax, as Arrow takes it.
+_QUOTED = "(?s)```.*?(?:```|\\z)|“[^”]*”|«[^»]*»|\"[^\"]*\""
 
 
 class _Words(dict):
@@ -186,7 +205,9 @@ class _Words(dict):
 
     def __missing__(self, run: str) -> tuple[str, ...]:
         words: tuple[str, ...] = ()
-        if not re.search("[/_0-9]", run):
+        if run.isascii() and not re.search("[/_0-9]", run):
+            words = tuple(re.findall("[A-Za-z]+", re.sub("[A-Za-z]+-[A-Za-z]+", " ", run) if "-" in run else run))
+        elif not re.search("[/_0-9]", run):
             kinds = "".join(c if c == "-" else unicodedata.category(c)[0] for c in run)
             kinds = re.sub("[LN]+-[LN]+", lambda m: " " * len(m[0]), kinds)
             words = tuple(run[m.start() : m.end()] for m in re.finditer("L+", kinds))
@@ -194,23 +215,36 @@ class _Words(dict):
         return words
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(l, word, n) of texts (l, text) in lower case: how many have the word; a pair (l, word) may come more than once."""
+def _pieces(batch: pa.RecordBatch, sizes: pa.Array) -> Iterator[pa.RecordBatch]:
+    """The batch cut where its rows' sizes exceed PIECE, so that what is made of a piece is bounded."""
+    of = np.cumsum(sizes.fill_null(0).to_numpy(zero_copy_only=False), dtype="int64") // PIECE
+    at = [0, *(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)]
+    return (batch.slice(i, j - i) for i, j in zip(at, at[1:]) if j > i)
 
-    def told() -> pa.RecordBatch:
-        rows = [(x, w, n) for x, of in counts.items() for w, n in of.items()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["l", "word", "n"])
 
-    words, counts = _Words(), defaultdict(Counter)
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(l, word, n) of texts (l, text) in lower case: how many have the word; a pair (l, word) may come more than once."""
+    words = _Words()
     for batch in batches:
-        for x, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            counts[x].update(set().union(*map(words.__getitem__, _RUN.findall(_QUOTED.sub(" ", text)))))
+        for piece in _pieces(batch, pc.binary_length(batch.column(1))):
+            runs = pc.ascii_split_whitespace(pc.replace_substring_regex(piece.column(1), _QUOTED, " "))
+            spelt, langs = runs.flatten().dictionary_encode(), piece.column(0).dictionary_encode()
             if len(words) > KEPT:
                 words.clear()
-            if sum(map(len, counts.values())) > KEPT:
-                yield told()
-                counts.clear()
-    yield told()
+            of = [words[run] for run in spelt.dictionary.to_pylist()]
+            number: dict[str, int] = {}
+            every = np.array([number.setdefault(w, len(number)) for own in of for w in own], "int64")
+            if not number:
+                continue
+            size = np.array([len(own) for own in of], "int64")
+            run, text = spelt.indices.to_numpy(), np.repeat(np.arange(len(runs)), runs.value_lengths().to_numpy())
+            many = size[run]  # a run of several words is as many rows
+            at = np.repeat((np.cumsum(size) - size)[run] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            told = np.sort(np.repeat(text, many) * len(number) + every[at])
+            once_each = told[np.diff(told, prepend=-1) > 0]
+            pairs, n = np.unique(langs.indices.to_numpy()[once_each // len(number)].astype("int64") * len(number) + once_each % len(number), return_counts=True)
+            named = langs.dictionary.take(pa.array(pairs // len(number))), pa.array(list(number), pa.string()).take(pa.array(pairs % len(number)))
+            yield pa.RecordBatch.from_arrays([*named, pa.array(n, pa.int64())], ["l", "word", "n"])
 
 
 def profile(size: dict[str, int], counts: DataFrame, least: int = 5) -> tuple[list[str], DataFrame]:
@@ -292,14 +326,41 @@ def _opened(answer: Column) -> Column:
 
     def says(t: Column) -> Column:
         count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+        more = lambda c, end: t.contains(c) & (count(c) > count(end))
         return (
-            t.contains("```") | (count("“") > count("”")) | (count("(") > count(")")) | (count("[") > count("]")) | (count("«") > count("»")) | (count('"') % 2 == 1)
-            | t.rlike("[,;:(\\[{<“«–-]\\z") & ~t.rlike("\\A[^ ]*\\z")
+            t.contains("```") | more("“", "”") | more("(", ")") | more("[", "]") | more("«", "»") | t.contains('"') & (count('"') % 2 == 1)
+            | F.right(t, F.lit(1)).isin(*",;:([{<“«–-") & t.contains(" ")
         )
 
     return F.element_at(F.transform(F.array(bare), says), 1)
 
 
+def _ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(c, seen, ends) of answers' tokens (k): how often each of a token's _contexts comes, and with an end of a sentence after it; a context may come more than once."""
+    for batch in batches:
+        for piece in _pieces(batch, pc.multiply(pc.list_value_length(batch.column(0)).cast("int64"), 8)):
+            spelt = pc.drop_null(piece.column(0)).flatten().dictionary_encode()
+            n = pc.list_value_length(piece.column(0)).drop_null().to_numpy().astype("int64")
+            words = [*spelt.dictionary.to_pylist(), "^"]
+            k, width = spelt.indices.to_numpy().astype("int64"), len(words)
+            mark = np.array([w in {".", ",", ";", ":"} for w in words])
+            stop = np.array([w in {".", "^"} for w in words])
+            place = np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)
+            before = lambda j: np.where(place >= j, np.concatenate([np.full(min(j, len(k)), width - 1), k[: max(0, len(k) - j)]]), width - 1)
+            kept = (place < np.repeat(n, n) - 1) & ~mark[k]
+            ended = np.append(np.array([w == "." for w in words])[k[1:]], False)[kept].astype("int64")
+            w0, w1, w2, w3 = k[kept], before(1)[kept], before(2)[kept], before(3)[kept]
+            for spell, of in (
+                (lambda x: f"1 {words[x]}", w0), (lambda x: f"2 {words[x // width]} {words[x % width]}", w1 * width + w0),
+                (lambda x: "3" if x < 0 else f"3 {words[x // width]} {words[x % width]}", np.where(stop[w1] | stop[w2], -1, w3 * width + w2)),
+            ):
+                told = np.sort(of * 2 + ended)
+                first = np.flatnonzero(np.diff(told >> 1, prepend=-9) != 0)
+                seen = np.diff(np.append(first, len(told)))
+                ends = np.add.reduceat(told & 1, first) if len(first) else seen
+                yield pa.RecordBatch.from_arrays([pa.array([spell(x) for x in (told[first] >> 1).tolist()], pa.string()), pa.array(seen, pa.int64()), pa.array(ends, pa.int64())], ["c", "seen", "ends"])
+
+
 def broken_off(answers: DataFrame) -> DataFrame:
     """(resolution_id): answers (resolution_id, open, stored, k) that stop before they are complete; k are their tokens.
 
@@ -307,9 +368,7 @@ def broken_off(answers: DataFrame) -> DataFrame:
     answers: a context that hardly ever does, or a word that nowhere ends one, says that the answer broke off. An answer's
     own end is not counted where it lacks a mark. Answers cut by the store count as contexts only.
     """
-    steps = F.transform(F.sequence(F.lit(0), F.size("k") - 2), lambda i: F.struct(F.get("k", i).alias("w"), (F.get("k", i + 1) == ".").cast("int").alias("end"), _contexts("k", i).alias("c")))
-    told = answers.where(F.size("k") > 1).select(F.explode(F.filter(steps, lambda s: ~s["w"].isin(*".,;:"))).alias("s")).select("s.end", F.explode("s.c").alias("c"))
-    stats = told.groupBy("c").agg(F.count("*").alias("seen"), F.sum("end").alias("ends"))
+    stats = answers.where(F.size("k") > 1).select("k").mapInArrow(_ends, "c string, seen long, ends long").groupBy("c").agg(F.sum("seen").alias("seen"), F.sum("ends").alias("ends"))
     rows = answers.where("not stored").withColumn("n", F.size("k"))
     ended = F.get("k", F.col("n") - 1) == "."
     last = rows.where("not open and n > 0").select("resolution_id", ended.cast("int").alias("ended"), F.explode(_contexts("k", F.col("n") - 1 - ended.cast("int"))).alias("c"))
@@ -325,6 +384,20 @@ def broken_off(answers: DataFrame) -> DataFrame:
     return rows.where("open").select("resolution_id").unionByName(per.where(stopped).select("resolution_id"))
 
 
+def _empty(answer: Column) -> Column:
+    """Whether it is null, blank or a placeholder. One with more characters than any placeholder is none; it is read no further."""
+    skipped, most = "\\p{P}\\p{Z}\\p{C}\\p{Sm}\\p{Sk}\\s", max(len(p.replace(" ", "")) for p in PLACEHOLDERS)
+    left = F.trim(F.regexp_replace(F.lower(answer), f"[{skipped}]+", " "))
+    return F.when(answer.rlike(f"\\A(?:[{skipped}]*+[^{skipped}]){{{most + 1}}}"), False).otherwise(F.coalesce(left.isin(PLACEHOLDERS), F.lit(True)))
+
+
+def _wanted(question: Column) -> Column:
+    """The language that the question asks for by name."""
+    low = F.lower(question)
+    named = F.coalesce(*[F.when(low.rlike(rf"(?U)\b(?:{p})\b"), x) for x, p in ASKED.items()])
+    return F.when(low.rlike(_one_of("|".join(ASKED.values()).split("|"))), named)
+
+
 def defects(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """(resolution_id, defect) of the defective pairs of (resolution_id, question, answer); each has one defect.
 
@@ -336,18 +409,16 @@ def defects(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     be copies or refusals by their words go through Python.
     """
     q, a = F.col("question"), F.coalesce("answer", F.lit(""))
-    left = F.trim(F.regexp_replace(F.lower("answer"), "[\\p{P}\\p{Z}\\p{C}\\p{Sm}\\p{Sk}\\s]+", " "))
-    empty = F.coalesce(left.isin(PLACEHOLDERS), F.lit(True))
-    wanted = F.coalesce(*[F.when(F.lower("question").rlike(rf"(?U)\b(?:{p})\b"), x) for x, p in ASKED.items()])
+    empty = F.col("empty")
     rest = F.when(q.isNotNull() & (q != ""), F.replace(a, q, F.lit(" "))).otherwise(a)
-    said = F.regexp_replace(a, "(?s)```.*?(?:```|\\z)|\\(“[^”]*”\\)", " ")
+    said = F.regexp_replace(a, "(?s)(?=[`(])(?:```.*?(?:```|\\z)|\\(“[^”]*”\\))", " ")
     parts = F.struct(
-        empty.alias("empty"), (_may_copy(q, a) | _may_refuse(a)).alias("maybe"), _opened(a).alias("open"), (F.length(a) == STORED).alias("stored"),
-        F.when(~empty, _tokens(said)).alias("k"), wanted.alias("wanted"), F.when(~empty & q.isNotNull(), _spoken(q)).alias("asked"), F.when(~empty & q.isNotNull(), _spoken(rest)).alias("spoken"),
+        (~empty & (_may_copy(q, a) | _may_refuse(a))).alias("maybe"), _opened(a).alias("open"), (F.length(a) == STORED).alias("stored"),
+        F.when(~empty, _tokens(said)).alias("k"), _wanted(q).alias("wanted"), F.when(~empty & q.isNotNull(), _spoken(q)).alias("asked"), F.when(~empty & q.isNotNull(), _spoken(rest)).alias("spoken"),
     )
-    taken = once(pairs.select("resolution_id", "question", "answer"), "x", parts).select("resolution_id", "question", "answer", "x.*")
-    maybe = F.col("maybe") & ~F.col("empty")
-    taken = written(taken.withColumns({"question": F.when(maybe, q), "answer": F.when(maybe, F.col("answer"))}), "pairs")  # read by each test
+    told_empty = once(pairs.select("resolution_id", "question", "answer"), "empty", _empty(F.col("answer")))
+    taken = once(told_empty, "x", parts).select("resolution_id", "question", "answer", "empty", "x.*")
+    taken = written(taken.withColumns({c: F.when(F.col("maybe"), F.col(c)) for c in ("question", "answer")}), "pairs")  # read by each test
     full = taken.where("not empty")
     judged = full.where("maybe").select("resolution_id", _judged("question", "answer").alias("defect")).where("defect is not null")
     told = lambda df, rank, defect: df.select("resolution_id", F.lit(rank).alias("rank"), F.lit(defect).alias("defect"))

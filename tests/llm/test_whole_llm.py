@@ -112,3 +112,55 @@ def test_words_of_texts_are_those_of_pairs(spark, monkeypatch):
         for r in b.to_pylist():
             sums[r["l"], r["word"]] = sums.get((r["l"], r["word"]), 0) + r["n"]
     assert sums == {k: 2 * n for k, n in plain.items()}
+
+
+def test_runs_are_looked_up_once_a_piece(monkeypatch):
+    looked = []
+
+    class Words(pairs._Words):
+        def __getitem__(self, run):
+            looked.append(run)
+            return super().__getitem__(run)
+
+    monkeypatch.setattr(pairs, "_Words", Words)
+    batch = pa.RecordBatch.from_pylist([{"l": "en" if i % 2 else "de", "text": f"the page, the page a-b “not this” n{i % 5} x_y " * 20} for i in range(500)])
+    every = [r for b in pairs._counted(iter([batch])) for r in b.to_pylist()]
+    assert {(r["l"], r["word"], r["n"]) for r in every} == {(x, w, 250) for x in ("de", "en") for w in ("the", "page")} and len(every) == 4
+    assert len(looked) == 11  # 70,000 before
+
+
+def test_contexts_are_counted_in_pieces(spark, monkeypatch):
+    rows = [None, [], ["a"], ["."], ["a", "."], ["a", "b"], [".", ".", "."], ["a", ",", "b", "c", "."], ["^", "x", "y", "z"], ["a", "b", "c", "d", ".", "e", "f", "g", "h"], [";", "a", "b", ":"]]
+    seen, ends = {}, {}
+    for k in rows:
+        for i in range(len(k or ()) - 1):
+            if k[i] not in ".,;:":
+                at = [k[i - j] if i >= j else "^" for j in range(4)]
+                for c in (f"1 {at[0]}", f"2 {at[1]} {at[0]}", "3" if {"^", "."} & {*at[1:3]} else f"3 {at[3]} {at[2]}"):
+                    seen[c], ends[c] = seen.get(c, 0) + 1, ends.get(c, 0) + (k[i + 1] == ".")
+    for piece in (1, 50, 8_000_000):
+        monkeypatch.setattr(pairs, "PIECE", piece)
+        got = {}
+        for part in (rows, rows[3:], []):
+            for b in pairs._ends(iter([pa.RecordBatch.from_arrays([pa.array(part, pa.list_(pa.string()))], ["k"])])):
+                for r in b.to_pylist():
+                    s, e = got.get(r["c"], (0, 0))
+                    got[r["c"]] = s + r["seen"], e + r["ends"]
+        assert got == {c: (2 * n, 2 * ends[c]) for c, n in seen.items()}  # the first three rows have no contexts
+
+
+def test_only_templates_of_enough_words_are_aligned(monkeypatch):
+    aligned = []
+    monkeypatch.setattr(pairs, "_common", lambda a, b, f=pairs._common: aligned.append(1) or f(a, b))
+    refusals = pairs._Refusals()
+    assert refusals.only("Sorry for the delay. I’m sorry, but I can’t help with that! I hope you understand.") and not refusals.only("I hope you understand.")
+    aligned.clear()
+    assert not refusals.only("The links move together with this page. " * 50 + "I can’t do that in the second run, as nothing is lost there.")
+    assert len(aligned) < 10  # 1,224 before
+
+
+def test_placeholders_may_be_long_and_wrapped(spark):
+    longest = max(pairs.PLACEHOLDERS, key=lambda p: len(p.replace(" ", "")))
+    texts = [longest, longest.upper(), f"```\n{longest}\n```" + " ." * 300, longest + "x", " -\n" * 200, "n" + "/" * 300 + "a", "İ" * 20, None, "", "n a b"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, answer string")
+    assert [r[0] for r in df.orderBy("id").select(pairs._empty(F.col("answer"))).collect()] == [True, True, True, False, True, True, False, True, True, False]
